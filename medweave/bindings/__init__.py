@@ -6,7 +6,7 @@ from importlib import import_module
 
 from medweave.bindings.common import ORACLE, QUERIES
 
-FAMILIES = ("eras",)
+FAMILIES = ("eras", "people", "vocab", "feeds")
 
 
 def load() -> tuple[dict, dict]:
