@@ -6,7 +6,7 @@ from importlib import import_module
 
 from medweave.bindings.common import ORACLE, QUERIES
 
-FAMILIES = ("eras", "people", "vocab", "feeds")
+FAMILIES = ("eras", "people", "vocab", "feeds", "governance")
 
 
 def load() -> tuple[dict, dict]:

@@ -7,12 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from medweave.bindings.common import Tables, query
+from medweave.bindings.common import ORACLE, Tables, query
 from medweave.bindings.vocab import DOMAINS
 from medweave.functions.vocabulary import DESTINATION
-from medweave.operators import ids
 from medweave.plans import claims as C
-from medweave.session import settle
+from medweave.schemas import OUTPUT_TABLES
 
 _DOMAIN_ROWS = ", ".join(f"({i}, '{d}')" for i, d in enumerate(DOMAINS))
 _ROUTES = ", ".join(f"('{k}', '{v}')" for k, v in DESTINATION.items())
@@ -357,12 +356,14 @@ def cdm_condition_era(t):
     return condition_era(flow(t).tables["condition_occurrence"])
 
 
-@query(
-    "cdm_row_counts",
-    " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM ({{cdm_{n}}})" for n in ()) or None,
+_COUNTS = " UNION ALL ".join(
+    f"SELECT '{n}' AS table_name, count(*) AS n FROM ({ORACLE[f'cdm_{n}']})" if f"cdm_{n}" in ORACLE else f"SELECT '{n}', 0" for n in OUTPUT_TABLES
 )
+
+
+@query("cdm_row_counts", _COUNTS)
 def cdm_row_counts(t):
-    """Records per output table, the empty ones with their header only."""
+    """Records per output table; three of them have a header only."""
     parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in flow(t).tables.items()]
     return C.union_facts(parts)
 
