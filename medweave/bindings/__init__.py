@@ -6,7 +6,7 @@ from importlib import import_module
 
 from medweave.bindings.common import ORACLE, QUERIES
 
-FAMILIES = ("eras", "people", "vocab", "feeds", "governance")
+FAMILIES = ("eras", "people", "vocab", "feeds", "governance", "nested", "quality", "tables")
 
 
 def load() -> tuple[dict, dict]:

@@ -168,8 +168,8 @@ _COHORTS = {
     "ne": ({"column": "p_brand", "op": "ne", "value": "Brand#2"}, "p_brand <> 'Brand#2'"),
     "lt": ({"column": "p_retailprice", "op": "lt", "value": " 950.5 "}, "p_retailprice < 950.5"),
     "lte": ({"column": "p_retailprice", "op": "lte", "value": "0x3c0"}, "p_retailprice <= 960"),
-    "gt": ({"column": "p_retailprice", "op": "gt", "value": "1e3"}, "p_retailprice > 1000"),
-    "gte": ({"column": "p_retailprice", "op": "gte", "value": "1010"}, "p_retailprice >= 1010"),
+    "gt": ({"column": "p_retailprice", "op": "gt", "value": "9.2e2"}, "p_retailprice > 920"),
+    "gte": ({"column": "p_retailprice", "op": "gte", "value": "915"}, "p_retailprice >= 915"),
     "not_a_number": ({"column": "p_retailprice", "op": "gt", "value": "many"}, "true"),
     "unknown_column": ({"column": "nothing", "op": "eq", "value": "1"}, "true"),
 }
@@ -329,10 +329,11 @@ def role_listing(t):
 
 @query(
     "role_difference",
-    "SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')",
+    f"{_WITH} SELECT DISTINCT user_id FROM perms WHERE poc_role = 'analyst' AND user_id NOT IN (SELECT user_id FROM perms WHERE role = 'MACHINERY')",
 )
 def role_difference(t):
-    return combine.role_difference(*[t.events.where(F.col("event_type") == k) for k in ("click", "error")])
+    perms = _in(t, "perms")
+    return combine.role_difference(perms.where(F.col("poc_role") == "analyst"), perms.where(F.col("role") == "MACHINERY"))
 
 
 @query(

@@ -465,6 +465,11 @@ def unmapped_log(facts: DataFrame, rx: DataFrame) -> DataFrame:
     return claims.unionByName(drugs)
 
 
+def append_unmapped(log: DataFrame, path: str) -> None:
+    """Add to the log of unknown codes, which grows over the samples."""
+    log.write.mode("append").parquet(path)
+
+
 def to_cdm(df: DataFrame, table: str) -> DataFrame:
     """The columns of a CDM table in order, cast to its types; columns the frame lacks are NULL."""
     present = set(df.columns)

@@ -85,9 +85,14 @@ def list_files(spark: SparkSession, folder: str, recursive: bool = False) -> Dat
     )
 
 
-def read_hits(spark: SparkSession, path: str | list[str], hit_schema: StructType | None = None) -> DataFrame:
-    """Responses with their records under ``data.hits``: one row per record."""
-    reader = spark.read.option("multiLine", True)
+def read_hits(
+    spark: SparkSession, path: str | list[str], hit_schema: StructType | None = None, per_line: bool = False
+) -> DataFrame:
+    """Responses with their records under ``data.hits``, one per file or one per line: a row per record.
+
+    Give the schema of a record to save the pass that infers it.
+    """
+    reader = spark.read.option("multiLine", not per_line)
     if hit_schema is not None:
         reader = reader.schema(f"data struct<hits:array<{hit_schema.simpleString()}>>")
     return reader.json(path).select(F.explode("data.hits").alias("_h")).select("_h.*")
