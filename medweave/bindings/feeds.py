@@ -374,7 +374,7 @@ def cdm_row_counts(t):
 )
 def second_sample_ids(t):
     """Person ids of a second sample continue after the first."""
-    first = flow(t).carried.state
+    first = flow(t).carried().state
     people = C.build_people(feed(t, "beneficiary"), ["2008", "2009", "2010"], first["person"])
     return people.select(C.PERSON, "person_id")
 

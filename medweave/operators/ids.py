@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from medweave.operators.skew import lookup_join, skew_join
 from medweave.session import settle
@@ -23,7 +24,7 @@ def assign_ids(
 
     Rows are range-partitioned by the whole order (which must identify a row, so that no value
     piles up in one range), sorted inside each range and written once with their place in it.
-    Only the row count per partition is summed up afterwards. With ``order=None`` the rows keep
+    Only the row counts per partition are summed up afterwards. With ``order=None`` the rows keep
     the partitions they have: dense ids without a shuffle.
     """
     placed = df
@@ -35,13 +36,12 @@ def assign_ids(
             "_place", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS))
         )
     )
-    # one row per partition: the table of offsets is as small as the number of tasks
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    # one row per partition, so a list as short as the number of tasks
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size")).orderBy("_part").collect()
+    starts = accumulate((r["_size"] for r in sizes), initial=base)
+    offsets = df.sparkSession.createDataFrame([(r["_part"], n) for r, n in zip(sizes, starts)], "_part int, _offset long")
     numbered = placed.join(F.broadcast(offsets), "_part")
-    new_id = F.col("_offset") + F.col("_place") + F.lit(base).cast("long")
-    return numbered.withColumn(id_col, new_id.cast("long")).select(id_col, *df.columns)
+    return numbered.withColumn(id_col, F.col("_offset") + F.col("_place")).select(id_col, *df.columns)
 
 
 def new_keys(fact: DataFrame, dim: DataFrame, natural_key: list[str]) -> DataFrame:

@@ -17,7 +17,7 @@ from medweave.functions.coverage import payer_plan_periods
 from medweave.functions.vocabulary import HCPCS, ICD9, NDC
 from medweave.operators import ids, keyed, vocab
 from medweave.operators.skew import skew_join
-from medweave.session import settle
+from medweave.session import settle, together
 
 PERSON = "DESYNPUF_ID"
 FEEDS = ("inpatient", "outpatient", "carrier")
@@ -521,63 +521,94 @@ class Carried:
 class ClaimsOutput:
     tables: dict[str, DataFrame]
     unmapped: DataFrame
-    carried: Carried
+    visits: DataFrame
+    people: DataFrame
+    dims: dict[str, DataFrame]
+    started_at: dict[str, int]
+
+    def carried(self) -> Carried:
+        """The counters after this sample and the dimensions as they are now."""
+        state = dict(self.started_at)
+        numbered = {**self.tables, **self.dims, "visit_occurrence": self.visits, "person": self.people}
+        for counter in ids.COUNTERS:
+            table = numbered["measurement_occurrence" if counter == "measurement" else counter]
+            state[counter] = ids.next_id(table, f"{counter}_id", state[counter])
+        return Carried(state, **{name: dim.drop("is_new") for name, dim in self.dims.items()})
 
 
 def claims_to_cdm(given: ClaimsInput, carried: Carried | None = None) -> ClaimsOutput:
     """All output tables of one set of feeds; ids continue from ``carried``."""
+    spark = given.beneficiary.sparkSession
     carried = carried or Carried()
-    at = dict(carried.state)
-    mapping = settle(vocab.concept_map(given.concept, given.relationship))
+    at = carried.state
+
+    def scripts_of(person_ids: DataFrame) -> DataFrame:
+        rows = has_service_date(conform(skip_header_rows(given.prescription), "prescription"), "SRVC_DT")
+        return _tie(person_ids, rows)
 
-    people = build_people(given.beneficiary, given.years, at["person"])
+    first = together(
+        spark,
+        mapping=lambda: settle(vocab.concept_map(given.concept, given.relationship)),
+        people=lambda: build_people(given.beneficiary, given.years, at["person"]),
+    )
+    mapping, people = first["mapping"], first["people"]
     person_ids = people.select(PERSON, "person_id")
-    feeds = [claim_rows(k, getattr(given, k)) for k in FEEDS]
-    claims = _tie(person_ids, union_facts(feeds))
-    scripts = has_service_date(conform(skip_header_rows(given.prescription), "prescription"), "SRVC_DT")
-    scripts = _tie(person_ids, scripts)
-
-    location = build_location(people, carried.location, at["location"])
-    care_site = build_care_site(claims, carried.care_site, at["care_site"])
-    provider = build_provider(claims, care_site, carried.provider, at["provider"])
-    visits = build_visits(claims, at["visit_occurrence"])
-    resolved = resolve_claims(claims, visits, care_site, provider)
-    facts = build_facts(claims, resolved, mapping)
-    rx = prescription_codes(scripts, mapping)
-
-    procedures = build_procedure_occurrence(facts, at["procedure_occurrence"])
-    drugs = build_drug_exposure(rx, facts, at["drug_exposure"])
+    tied = together(
+        spark,
+        claims=lambda: _tie(person_ids, union_facts([claim_rows(k, getattr(given, k)) for k in FEEDS])),
+        scripts=lambda: scripts_of(person_ids),
+        location=lambda: build_location(people, carried.location, at["location"]),
+        payer_plan_period=lambda: build_payer_plan_period(people, given.years, at["payer_plan_period"]),
+    )
+    claims, scripts, location = tied["claims"], tied["scripts"], tied["location"]
+
+    def places() -> tuple[DataFrame, DataFrame]:
+        site = build_care_site(claims, carried.care_site, at["care_site"])
+        return site, build_provider(claims, site, carried.provider, at["provider"])
+
+    found = together(
+        spark,
+        places=places,
+        visits=lambda: build_visits(claims, at["visit_occurrence"]),
+        rx=lambda: prescription_codes(scripts, mapping),
+        observation_period=lambda: build_observation_period(people, scripts, claims, at["observation_period"]),
+        person=lambda: build_person(people, location),
+    )
+    (care_site, provider), visits, rx = found["places"], found["visits"], found["rx"]
+    facts = build_facts(claims, resolve_claims(claims, visits, care_site, provider), mapping)
+
+    def procedures() -> tuple[DataFrame, DataFrame]:
+        done = build_procedure_occurrence(facts, at["procedure_occurrence"])
+        return done, build_procedure_cost(done, claims, at["procedure_cost"])
+
+    def drugs() -> tuple[DataFrame, DataFrame]:
+        done = build_drug_exposure(rx, facts, at["drug_exposure"])
+        return done, build_drug_cost(scripts, done, at["drug_cost"])
+
+    written = together(
+        spark,
+        procedures=procedures,
+        drugs=drugs,
+        observation=lambda: build_observation(facts, at["observation"]),
+        condition_occurrence=lambda: build_condition_occurrence(facts, at["condition_occurrence"]),
+        device_exposure=lambda: build_device_exposure(facts, at["device_exposure"]),
+        measurement_occurrence=lambda: build_measurement_occurrence(facts, at["measurement"]),
+    )
     built = {
-        "person": build_person(people, location),
-        "observation": build_observation(facts, at["observation"]),
-        "observation_period": build_observation_period(people, scripts, claims, at["observation_period"]),
+        **{k: v for k, v in written.items() if k not in ("procedures", "drugs")},
+        **dict(zip(("procedure_occurrence", "procedure_cost"), written["procedures"])),
+        **dict(zip(("drug_exposure", "drug_cost"), written["drugs"])),
+        "person": found["person"],
+        "observation_period": found["observation_period"],
         "death": build_death(people),
         "visit_occurrence": build_visit_occurrence(facts),
-        "condition_occurrence": build_condition_occurrence(facts, at["condition_occurrence"]),
-        "procedure_occurrence": procedures,
-        "procedure_cost": build_procedure_cost(procedures, claims, at["procedure_cost"]),
-        "drug_exposure": drugs,
-        "drug_cost": build_drug_cost(scripts, drugs, at["drug_cost"]),
-        "device_exposure": build_device_exposure(facts, at["device_exposure"]),
-        "measurement_occurrence": build_measurement_occurrence(facts, at["measurement"]),
         "location": location.where("is_new"),
         "care_site": care_site.where("is_new"),
         "provider": provider.where("is_new"),
-        "payer_plan_period": build_payer_plan_period(people, given.years, at["payer_plan_period"]),
+        "payer_plan_period": tied["payer_plan_period"],
     }
-    spark = given.beneficiary.sparkSession
     tables = {
         t: to_cdm(built[t], t) if t in built else spark.createDataFrame([], S.cdm_schema(t)) for t in S.OUTPUT_TABLES
     }
-    ends = {
-        "person": people, "location": location, "care_site": care_site, "provider": provider, "visit_occurrence": visits,
-        "condition_occurrence": tables["condition_occurrence"], "procedure_occurrence": procedures,
-        "procedure_cost": tables["procedure_cost"], "drug_exposure": drugs, "drug_cost": tables["drug_cost"],
-        "device_exposure": tables["device_exposure"], "observation": tables["observation"],
-        "observation_period": tables["observation_period"], "payer_plan_period": tables["payer_plan_period"],
-    }
-    for name, df in ends.items():
-        at[name] = ids.next_id(df, f"{name}_id", at[name])
-    at["measurement"] = ids.next_id(tables["measurement_occurrence"], "measurement_id", at["measurement"])
-    handed_on = Carried(at, location.drop("is_new"), care_site.drop("is_new"), provider.drop("is_new"))
-    return ClaimsOutput(tables, unmapped_log(facts, rx), handed_on)
+    dims = {"location": location, "care_site": care_site, "provider": provider}
+    return ClaimsOutput(tables, unmapped_log(facts, rx), visits, people, dims, dict(at))

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -58,3 +62,10 @@ def settle(df: DataFrame) -> DataFrame:
     path = new_folder(spark, "settled")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def together(spark: SparkSession, **jobs: Callable[[], Any]) -> dict[str, Any]:
+    """Run independent steps at the same time, so that the tail of one does not leave the cluster idle."""
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        started = {name: pool.submit(inheritable_thread_target(spark)(job)) for name, job in jobs.items()}
+        return {name: future.result() for name, future in started.items()}

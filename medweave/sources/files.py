@@ -59,7 +59,7 @@ def read_vocabulary(spark: SparkSession, path: str, table: str) -> DataFrame:
 def read_gz(spark: SparkSession, path: str | list[str], schema: StructType, partitions: int | None = None) -> DataFrame:
     """Gzip-compressed delimited files. One such file is one task, so its rows are spread afterwards."""
     df = spark.read.schema(schema).option("header", True).option("quote", "").csv(path)
-    return df.repartition(partitions) if partitions else df.repartition()
+    return df.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def read_files(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
@@ -72,16 +72,25 @@ def read_files(spark: SparkSession, path: str, name: str | None = None) -> DataF
     return spark.read.option("header", True).option("sep", "\t" if ext == "tsv" else ",").csv(path)
 
 
+def _local(path):
+    """A path without scheme, for comparing."""
+    return F.regexp_replace(path, "^[a-z0-9]+:/*", "/")
+
+
 def list_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """``path, name, relative, size`` of the files in a folder, without reading them."""
+    """``path, name, relative, size`` of the files in a folder, without reading them.
+
+    Readers pass over empty files, so the names come from the file index and the sizes are joined to them.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
-    root = F.regexp_replace(F.lit(folder.rstrip("/")), "^[a-z0-9]+:/*", "/")
-    plain = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
-    return files.select(
+    paths = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").withColumn("path", F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))))
+    sizes = files.select(_local(F.col("path")).alias("_at"), "length")
+    listed = paths.withColumn("_at", _local(F.col("path"))).join(sizes, "_at", "left")
+    return listed.select(
         "path",
         F.element_at(F.split("path", "/"), -1).alias("name"),
-        F.substring(plain, F.length(root) + 2, F.length(plain)).alias("relative"),
-        F.col("length").alias("size"),
+        F.substring("_at", F.length(_local(F.lit(folder.rstrip("/")))) + 2, F.length("_at")).alias("relative"),
+        F.coalesce("length", F.lit(0)).cast("long").alias("size"),
     )
 
 
