@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from medweave.bindings.common import query
 from medweave.functions import vocabulary as fv
 from medweave.operators import vocab
+from medweave.session import settle
 
 # Domains given to parts in turn; two of them route nowhere.
 DOMAINS = [*fv.DESTINATION, "Metadata", "Gender"]
@@ -87,12 +88,13 @@ _CODED = """codes AS (
 
 
 def _map(t):
-    return vocab.concept_map(concepts(t), relationships(t))
+    """The map as the conversion uses it: written once, then looked up."""
+    return settle(vocab.concept_map(concepts(t), relationships(t)))
 
 
 @query("concept_map", f"WITH {CONCEPTS} SELECT * FROM concept_map")
 def concept_map(t):
-    return _map(t).drop("target_order")
+    return vocab.concept_map(concepts(t), relationships(t)).drop("target_order")
 
 
 @query("valid_maps_to", f"WITH {CONCEPTS} SELECT id1 AS concept_id_1, id2 AS concept_id_2 FROM maps_to")

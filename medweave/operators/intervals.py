@@ -40,22 +40,31 @@ def merge_intervals(
     strict: bool = False,
     count: str | None = None,
     measures: dict[str, str] | None = None,
+    unique_starts: bool = False,
 ) -> DataFrame:
     """Merge intervals per key when the next one starts at most ``gap`` days after the last end.
 
     Returns ``keys, era_start, era_end, n`` (``n`` sums the column ``count`` when given) and the
     sum of each column in ``measures``. ``strict=True`` follows the start/end event counting to the
     letter, which gives other results than the default only where an interval ends before it starts.
+    Rows without a key, a start or an end belong to no era. ``unique_starts`` tells that no two rows
+    of a key start on the same day, as is so for eras that are merged once more.
     """
+    df = df.na.drop(subset=[*keys, start, end])
     n = F.count(F.lit(1)) if count is None else F.sum(count)
     sums = {name: F.sum(col) for name, col in (measures or {}).items()}
     if strict:
         if measures:
             raise ValueError("strict merging carries no measures")
         return _merge_by_events(df, keys, start, end, gap, n)
-    days = df.groupBy(*keys, F.col(start).alias("_start")).agg(
-        F.max(end).alias("_end"), n.alias("_n"), *[c.alias(name) for name, c in sums.items()]
-    )
+    if unique_starts:
+        one = F.lit(1) if count is None else F.col(count)
+        carried = [F.col(c).alias(name) for name, c in (measures or {}).items()]
+        days = df.select(*keys, F.col(start).alias("_start"), F.col(end).alias("_end"), one.alias("_n"), *carried)
+    else:
+        days = df.groupBy(*keys, F.col(start).alias("_start")).agg(
+            F.max(end).alias("_end"), n.alias("_n"), *[c.alias(name) for name, c in sums.items()]
+        )
     return (
         _islands(days, keys, gap)
         .groupBy(*keys, "_island")
@@ -81,7 +90,10 @@ def era_events(spans: DataFrame, keys: list[str], start: str, end: str, pad_days
 
 
 def start_ordinal(df: DataFrame, keys: list[str], order: list[str], name: str = "start_ordinal") -> DataFrame:
-    """Position of each row within its key; ``order`` must be unique per key to be repeatable."""
+    """Position of each row within its key; ``order`` must be unique per key to be repeatable.
+
+    Meant for day-level rows, of which a key has no more than there are days.
+    """
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 

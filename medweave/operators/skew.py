@@ -14,12 +14,13 @@ BROADCAST_ROWS = 200_000
 LEFT_SIDED = ("inner", "left", "left_semi", "left_anti")
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame:
     """Keys with more than ``hot_rows`` rows and the number of pieces each is split into.
 
     Holds at most ``rows / hot_rows`` rows, whatever the data looks like. NULL is a key as well:
     an outer join sends all rows with a NULL key to one task otherwise.
     """
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     pieces = F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int")
     return counted.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], pieces.alias("_pieces"))
@@ -37,7 +38,7 @@ def skew_join(
     on: list[str],
     how: str = "left",
     salt_by: list[str] | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Equi join on equally named columns; hot keys of ``left`` are split by a salt.
 
@@ -58,8 +59,9 @@ def skew_join(
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+def fits(df: DataFrame, max_rows: int | None = None) -> bool:
     """Count (no further than needed) whether ``df`` has at most ``max_rows`` rows."""
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
     return df.limit(max_rows + 1).count() <= max_rows
 
 
@@ -69,7 +71,7 @@ def lookup_join(
     on: list[str],
     how: str = "left",
     salt_by: list[str] | None = None,
-    max_rows: int = BROADCAST_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Broadcast ``right`` when it is counted to be small, salt the hot keys otherwise."""
     if how not in LEFT_SIDED:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from medweave.functions.vocabulary import MAPPABLE, normalise_code, normalise_vocab, route_domain
 from medweave.operators.keyed import latest_per_key
-from medweave.operators.skew import lookup_join
+from medweave.operators.skew import lookup_join, skew_join
 
 MAP_COLUMNS = ("vocab", "code", "source_id", "target_id", "destination", "target_order")
 
@@ -34,7 +34,7 @@ def resolve_targets(concept: DataFrame, maps_to: DataFrame) -> DataFrame:
     links = maps_to.select(
         F.col("concept_id_1").alias("source_id"), F.col("concept_id_2").alias("target_id"), F.col("ordinal").alias("target_order")
     )
-    return links.join(targets, "target_id")
+    return skew_join(links, targets, ["target_id"], "inner", ["source_id", "target_order"])
 
 
 def concept_map(concept: DataFrame, relationship: DataFrame) -> DataFrame:
@@ -58,17 +58,19 @@ def concept_map(concept: DataFrame, relationship: DataFrame) -> DataFrame:
     linked = maps_to.select(F.col("concept_id_1").alias("source_id"), F.lit(True).alias("linked")).distinct()
     candidates = sources.join(linked, "source_id", "left").where(F.col("linked").isNotNull() | F.col("own").isNotNull())
     winners = latest_per_key(candidates, ["vocab", "code"], ["ordinal"])
-    mapped = winners.join(resolve_targets(concept, maps_to), "source_id", "left")
-    unlinked = F.col("linked").isNull()
-    no_target = F.lit(0).cast(concept.schema["concept_id"].dataType)
-    return mapped.select(
+    targets = resolve_targets(concept, maps_to)
+    mapped = skew_join(targets, winners.where("linked").select("vocab", "code", "source_id"), ["source_id"], "inner", ["target_id", "target_order"])
+    bare = winners.where("linked").join(targets.select("source_id").distinct(), "source_id", "left_anti")
+    no_target = F.lit(None).cast(concept.schema["concept_id"].dataType)
+    own_target = F.lit(0).cast(concept.schema["concept_id"].dataType)
+    alone = winners.where("linked is null").unionByName(bare).select(
         "vocab",
         "code",
         "source_id",
-        F.when(unlinked, no_target).otherwise(F.col("target_id")).alias("target_id"),
-        F.when(unlinked, F.col("own")).otherwise(F.col("destination")).alias("destination"),
-        "target_order",
+        F.when(F.col("linked"), no_target).otherwise(own_target).alias("target_id"),
+        F.when(F.col("linked").isNull(), F.col("own")).alias("destination"),
     )
+    return mapped.unionByName(alone, allowMissingColumns=True).select(*MAP_COLUMNS)
 
 
 def lookup_codes(codes: DataFrame, mapping: DataFrame, salt_by: list[str] | None = None) -> DataFrame:

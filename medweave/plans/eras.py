@@ -54,7 +54,7 @@ def drug_era(exposure: DataFrame, ancestor: DataFrame, concept: DataFrame, gap:
     )
     sub = merge_intervals(rolled, keys, "start", "end", 0, strict).withColumn("exposed", F.datediff("era_end", "era_start"))
     sub = sub.select(*keys, F.col("era_start").alias("start"), F.col("era_end").alias("end"), F.col("n").alias("exposures"), "exposed")
-    eras = merge_intervals(sub, keys, "start", "end", gap, count="exposures", measures={"exposed": "exposed"})
+    eras = merge_intervals(sub, keys, "start", "end", gap, count="exposures", measures={"exposed": "exposed"}, unique_starts=True)
     return eras.select(
         "person_id", F.col("ingredient_concept_id").alias("drug_concept_id"), F.col("era_start").alias("drug_era_start_date"),
         F.col("era_end").alias("drug_era_end_date"), F.col("n").alias("drug_exposure_count"),
