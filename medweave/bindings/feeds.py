@@ -52,20 +52,34 @@ def _line(i: int, blank: int, tax: str) -> str:
 
 
 LINES = (1, 2, 13)
-FEED_SQL = {
-    "beneficiary": f"""
-SELECT {_s('yr')} AS FILE_YEAR, {_PERSON.format(key='c_custkey')},
+# Year, and whether it is a second record of it; who has no record of that year (or only has the second one).
+YEARS = (("2008", "0", "c_nationkey <> 9"), ("2009", "0", "c_nationkey <> 5"), ("2010", "0", "c_nationkey <> 3"), ("2009", "1", "c_nationkey = 1"))
+
+
+def _beneficiary(yr: str, dup: str, who: str) -> str:
+    return f"""
+SELECT '{yr}' AS FILE_YEAR, {_PERSON.format(key='c_custkey')},
   '19' || {_pad('20 + c_custkey % 60', 2)} || {_pad('1 + c_custkey % 12', 2)} || {_pad('1 + c_custkey % 28', 2)} AS BENE_BIRTH_DT,
-  CASE WHEN c_nationkey = 4 AND yr = 2010 THEN '20100715' ELSE '' END AS BENE_DEATH_DT,
+  CASE WHEN c_nationkey = 4 AND {yr} = 2010 THEN '20100715' ELSE '' END AS BENE_DEATH_DT,
   {_s('1 + c_custkey % 3')} AS BENE_SEX_IDENT_CD, {_s('c_custkey % 6')} AS BENE_RACE_CD,
-  {_pad('1 + c_nationkey', 2)} AS SP_STATE_CODE, {_s('(c_custkey + yr + dup * 7) % 150')} AS BENE_COUNTY_CD,
-  {_s('(c_custkey + yr) % 14')} AS BENE_HI_CVRAGE_TOT_MONS,
-  {_s("CASE WHEN c_mktsegment = 'BUILDING' THEN 12 ELSE (c_custkey * yr) % 13 END")} AS BENE_SMI_CVRAGE_TOT_MONS,
-  {_s('(c_custkey * 3 + yr) % 13')} AS BENE_HMO_CVRAGE_TOT_MONS,
-  {_s('CASE WHEN (c_custkey + yr) % 3 = 0 THEN 5 ELSE 12 END')} AS PLAN_CVRG_MOS_NUM
-FROM {{customer}} JOIN (VALUES (2008, 0), (2009, 0), (2010, 0), (2009, 1)) AS y(yr, dup)
-  ON (dup = 0 OR c_nationkey = 1) AND NOT (c_nationkey = 3 AND yr = 2010) AND NOT (c_nationkey = 5 AND yr = 2009) AND NOT (c_nationkey = 9 AND yr = 2008)
-WHERE c_acctbal >= 0""",
+  {_pad('1 + c_nationkey', 2)} AS SP_STATE_CODE, {_s(f'(c_custkey + {yr} + {dup} * 7) % 150')} AS BENE_COUNTY_CD,
+  {_s(f'(c_custkey + {yr}) % 14')} AS BENE_HI_CVRAGE_TOT_MONS,
+  {_s(f"CASE WHEN c_mktsegment = 'BUILDING' THEN 12 ELSE (c_custkey * {yr}) % 13 END")} AS BENE_SMI_CVRAGE_TOT_MONS,
+  {_s(f'(c_custkey * 3 + {yr}) % 13')} AS BENE_HMO_CVRAGE_TOT_MONS,
+  {_s(f'CASE WHEN (c_custkey + {yr}) % 3 = 0 THEN 5 ELSE 12 END')} AS PLAN_CVRG_MOS_NUM
+FROM {{customer}} WHERE c_acctbal >= 0 AND {who}"""
+
+
+def _relationship(j: int, who: str) -> str:
+    return f"""
+SELECT p_partkey AS concept_id_1, CAST(floor(p_partkey / 4) AS BIGINT) * 4 + 3 + 4 * {j} AS concept_id_2,
+  CASE WHEN p_partkey % 13 = 0 THEN 'Mapped from' ELSE 'Maps to' END AS relationship_id, CASE WHEN p_partkey % 11 = 0 THEN 'D' ELSE '' END AS invalid_reason,
+  p_partkey * 10 + {j} AS ordinal
+FROM {{part}} WHERE p_partkey % 4 <> 3 AND p_partkey % 3 <> 0 AND {who}"""
+
+
+FEED_SQL = {
+    "beneficiary": " UNION ALL ".join(_beneficiary(*part) for part in YEARS),
     "inpatient": f"SELECT {_CLAIM}, '1' AS SEGMENT, {_SITE} AS PRVDR_NUM, {_NPIS}, {_FACILITY_CODES} FROM {{orders}} WHERE o_orderstatus = 'F'",
     "outpatient": f"""SELECT {_CLAIM}, '1' AS SEGMENT, {_SITE} AS PRVDR_NUM, {_NPIS}, {_FACILITY_CODES},
   CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'D' || {_s('o_custkey % 400')} END AS ADMTNG_ICD9_DGNS_CD FROM {{orders}} WHERE o_orderstatus = 'O'""",
@@ -86,11 +100,7 @@ SELECT concept_id, domain_id, vocabulary_id, concept_code, concept_id AS ordinal
       ELSE 'DRUG' || {_s('CAST(floor(p_partkey / 4) AS BIGINT) % 280')} END AS concept_code FROM {{part}}
   UNION ALL SELECT -1 - s_suppkey, s_suppkey % {len(DOMAINS)}, 'ICD9Proc', 'Q.' || {_s('s_suppkey % 80')} FROM {{supplier}}) s
 JOIN (VALUES {_DOMAIN_ROWS}) AS dm(i, domain_id) ON i = d""",
-    "relationship": """
-SELECT p_partkey AS concept_id_1, CAST(floor(p_partkey / 4) AS BIGINT) * 4 + 3 + 4 * j AS concept_id_2,
-  CASE WHEN p_partkey % 13 = 0 THEN 'Mapped from' ELSE 'Maps to' END AS relationship_id, CASE WHEN p_partkey % 11 = 0 THEN 'D' ELSE '' END AS invalid_reason,
-  p_partkey * 10 + j AS ordinal
-FROM {part} JOIN (VALUES (0), (1)) AS t(j) ON (j = 0 OR p_partkey % 5 = 0) WHERE p_partkey % 4 <> 3 AND p_partkey % 3 <> 0""",
+    "relationship": _relationship(0, "true") + " UNION ALL " + _relationship(1, "p_partkey % 5 = 0"),
 }
 _SOURCES = ("customer", "orders", "lineitem", "part", "supplier")
 

@@ -135,7 +135,8 @@ def _grants(t):
     return t.events.select(kind.alias("consent_tag"), F.col("user_id").cast("string").alias("user_email"), until.alias("revoked_at")).distinct()
 
 
-_AS_OF = F.lit("2025-01-01").cast("timestamp")
+def _as_of():
+    return F.lit("2025-01-01").cast("timestamp")
 
 
 @query(
@@ -144,7 +145,7 @@ _AS_OF = F.lit("2025-01-01").cast("timestamp")
         AND (g.revoked_at IS NULL OR g.revoked_at > TIMESTAMP '2025-01-01'))""",
 )
 def consent_filter(t):
-    return g.consent_filter(t.events, _grants(t), "8", _AS_OF, "event_type").select("event_id", "event_type")
+    return g.consent_filter(t.events, _grants(t), "8", _as_of(), "event_type").select("event_id", "event_type")
 
 
 @query(
@@ -192,7 +193,7 @@ def project_whitelist(t):
 )
 def export_rows(t):
     meta = {"consent_group": "c1", "dataset": "D1", "access_tier": "open_access", "submitter": "u", "expires_at": "2026-01-01", "request_id": "r1"}
-    rows = export.export_rows(t.part, ["p_partkey", "p_name"], {"column": "p_brand", "op": "eq", "value": "Brand#2"}, meta, at=_AS_OF)
+    rows = export.export_rows(t.part, ["p_partkey", "p_name"], {"column": "p_brand", "op": "eq", "value": "Brand#2"}, meta, at=_as_of())
     return rows.withColumn("_exported_at", day("_exported_at"))
 
 
@@ -374,12 +375,15 @@ _AUDIT = """WITH a AS (SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS
   p AS (SELECT *, CASE k % 3 WHEN 0 THEN 'governed.default.t' || k WHEN 1 THEN 'governed' || k ELSE '' END AS target, CAST(k + 200 AS VARCHAR) AS status_code FROM a)"""
 _AUDIT_COLS = "event_time, user_email, service_name, action_name, target, status_code"
 _PATTERNS = ("governed.default.%", "governed%")
-_TODAY = F.lit("2024-02-10").cast("date")
+
+
+def _today():
+    return F.lit("2024-02-10").cast("date")
 
 
 @query("recent_governed_audit", f"{_AUDIT} SELECT event_id FROM p WHERE event_date >= DATE '2024-02-10' - 30 AND target <> ''")
 def recent_governed_audit(t):
-    return g.recent_governed_audit(_audit(t), _TODAY, _PATTERNS).select("event_id")
+    return g.recent_governed_audit(_audit(t), _today(), _PATTERNS).select("event_id")
 
 
 @query("audit_projection", f"{_AUDIT} SELECT {_AUDIT_COLS} FROM p")
@@ -389,7 +393,7 @@ def audit_projection(t):
 
 @query("system_audit", f"{_AUDIT} SELECT {_AUDIT_COLS} FROM p WHERE event_date >= DATE '2024-02-10' - 30 AND target <> '' ORDER BY event_time DESC LIMIT 200")
 def system_audit(t):
-    return g.system_audit(_audit(t), _TODAY, _PATTERNS)
+    return g.system_audit(_audit(t), _today(), _PATTERNS)
 
 
 @query(

@@ -63,13 +63,16 @@ def read_gz(spark: SparkSession, path: str | list[str], schema: StructType, part
 
 
 def read_files(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
-    """Read by the extension of ``name`` (or of the path): parquet, json, jsonl, tsv, else csv with a header."""
+    """Read by the extension of ``name`` (or of the path): parquet, json, jsonl, tsv, else csv with a header.
+
+    Quotes inside a quoted csv field are doubled.
+    """
     ext = (name or path).rsplit(".", 1)[-1].lower()
     if ext == "parquet":
         return spark.read.parquet(path)
     if ext in ("json", "jsonl"):
         return spark.read.json(path)
-    return spark.read.option("header", True).option("sep", "\t" if ext == "tsv" else ",").csv(path)
+    return spark.read.option("header", True).option("escape", '"').option("sep", "\t" if ext == "tsv" else ",").csv(path)
 
 
 def _local(path):

@@ -83,6 +83,11 @@ def load_paths(folder: str, file: str) -> tuple[str, str]:
     )
 
 
+def _quoted(reader, quote: str | None):
+    """A quote inside quotes is doubled; without a quote character there is no quoting."""
+    return reader.option("quote", quote).option("escape", quote) if quote else reader.option("quote", "")
+
+
 def positional(
     spark: SparkSession, folder: str, file: str, target: StructType, delimiter: str | None = None,
     header: bool = False, quote: str | None = '"', csv: bool = True, columns: list[str] | None = None, strict: bool = True,
@@ -92,7 +97,7 @@ def positional(
     names = columns or target.fieldNames()
     delimiter = delimiter if delimiter is not None else ("," if csv else "\t")
     reader = spark.read.schema(S.text_schema(names)).option("sep", delimiter).option("header", header)
-    raw = reader.option("quote", quote if csv and quote else "").option("mode", "FAILFAST" if strict else "PERMISSIVE").csv(glob)
+    raw = _quoted(reader, quote if csv else None).option("mode", "FAILFAST" if strict else "PERMISSIVE").csv(glob)
     raw = raw.where(F.col("_metadata.file_path").rlike(pattern))
     return raw.select(
         *[(convert(F.col(f.name), f.dataType, strict) if f.name in names else F.lit(None).cast(f.dataType)).alias(f.name) for f in target]
@@ -124,7 +129,7 @@ def load_stage_file(
     target = spark.table(table).schema
     strict = on_error == "ABORT_STATEMENT"
     reader = spark.read.schema(S.text_schema(target.fieldNames())).option("header", True).option("nullValue", null_if)
-    raw = reader.option("quote", enclosed_by or "").option("mode", "FAILFAST" if strict else "DROPMALFORMED").csv(path)
+    raw = _quoted(reader, enclosed_by).option("mode", "FAILFAST" if strict else "DROPMALFORMED").csv(path)
     return _insert(raw.select(*[convert(F.col(f.name), f.dataType, strict).alias(f.name) for f in target]), table)
 
 
