@@ -213,7 +213,9 @@ def _by_feed(inpatient, outpatient, carrier) -> str:
 
 
 def _table(name: str, columns: str, sql: str, key: str | None = None) -> None:
-    """Register an output table with the columns that can be filled."""
+    """Register an output table with the columns that can be filled; concept ids are long."""
+    wide = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in columns.split() if c.endswith("_concept_id"))
+    sql = f"SELECT * REPLACE ({wide}) FROM ({sql})" if wide else sql
 
     @query(key or f"cdm_{name}", sql)
     def run(t, name=name, columns=columns):

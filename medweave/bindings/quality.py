@@ -142,7 +142,7 @@ _BAD = """bad AS (SELECT f AS file, level, line FROM (SELECT 'orders.csv' AS f,
     "check_delimited",
     f"""WITH {_BAD} SELECT file, level, 'wrong number of fields' AS issue, line, 2 AS found, 3 AS expected, CAST(NULL AS VARCHAR) AS detail FROM bad
         QUALIFY row_number() OVER (PARTITION BY file ORDER BY line) <= 10
-        UNION ALL SELECT file, level, 'more lines with the wrong number of fields', NULL, count(*) - 10, NULL, NULL FROM bad GROUP BY file, level HAVING count(*) > 10
+        UNION ALL SELECT file, level, 'more lines with the wrong number of fields', NULL, CAST(count(*) - 10 AS INTEGER), NULL, NULL FROM bad GROUP BY file, level HAVING count(*) > 10
         UNION ALL SELECT file, level, 'header column appears more than once', 1, 2, 1, 'k' FROM (VALUES ('orders.csv', 'error'), ('orders.txt', 'warning')) v(file, level)""",
 )
 def check_delimited(t):

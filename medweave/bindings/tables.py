@@ -24,7 +24,7 @@ def assign_ids(t):
     return ids.assign_ids(t.orders.select("o_orderkey", "o_totalprice"), "id", [F.desc("o_totalprice"), "o_orderkey"], 100)
 
 
-@query("assign_ids_unordered", "SELECT count(*) AS n, count(*) AS distinct_ids, 5 AS low, count(*) + 4 AS high FROM lineitem")
+@query("assign_ids_unordered", "SELECT count(*) AS n, count(*) AS distinct_ids, CAST(5 AS BIGINT) AS low, count(*) + 4 AS high FROM lineitem")
 def assign_ids_unordered(t):
     """Dense ids without a shuffle: as many as rows, none twice, no gap."""
     got = ids.assign_ids(t.lineitem, "id", base=5)
@@ -83,7 +83,7 @@ def skew_join(t):
     return skew.skew_join(lines, t.nation.select(F.col("n_nationkey").alias("k"), "n_name"), ["k"], "left", hot_rows=1000).drop("k")
 
 
-@query("skew_semi_join", "SELECT count(*) AS n, sum(l_orderkey) AS s FROM lineitem WHERE l_returnflag IN ('A', 'R')")
+@query("skew_semi_join", "SELECT count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS s FROM lineitem WHERE l_returnflag IN ('A', 'R')")
 def skew_semi_join(t):
     wanted = t.lineitem.where("l_returnflag <> 'N'").select("l_returnflag").distinct()
     return skew.skew_join(t.lineitem, wanted, ["l_returnflag"], "left_semi", hot_rows=1000).agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("s"))
@@ -233,7 +233,7 @@ def list_files(t):
     return found.groupBy(F.substring_index("relative", "/", 1).alias("folder")).agg((F.min("size") > 0).alias("filled"))
 
 
-@query("publish_no_clobber", "SELECT count(*) AS n, sum(o_orderkey) AS s FROM orders")
+@query("publish_no_clobber", "SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders")
 def publish_no_clobber(t):
     """Files are moved once; a second output with the same names is refused as a whole."""
     staged, again, out = (new_folder(t.spark, n) for n in ("staged", "again", "out"))
@@ -394,7 +394,7 @@ def create_cdm_tables(t):
     rows = t.customer.select(F.col("c_nationkey").cast("long").alias("location_id")).distinct()
     C.to_cdm(rows, "location").write.insertInto(f"{database}.location")
     counts = [t.spark.table(f"{database}.{n}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("what"), "n") for n in ("cdm_source", "location")]
-    names = t.spark.sql(f"SHOW TABLES IN {database}").agg(F.count(F.lit(1)).alias("n")).select(F.lit("tables").alias("what"), "n")
+    names = t.spark.sql(f"SHOW TABLES IN {database}").where("NOT isTemporary").agg(F.count(F.lit(1)).alias("n")).select(F.lit("tables").alias("what"), "n")
     return C.union_facts([names, *counts])
 
 

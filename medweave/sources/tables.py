@@ -166,7 +166,7 @@ def discover_and_load(spark: SparkSession, folder: str, database: str, sample: s
         .where(F.col("file").endswith(suffix))
         .withColumn("name", F.expr(f"substring(file, 1, length(file) - {len(suffix)})"))
     )
-    tables = spark.createDataFrame([(t.name,) for t in spark.catalog.listTables(database)], "table string")
+    tables = spark.createDataFrame([(t.name,) for t in spark.catalog.listTables(database) if not t.isTemporary], "table string")
     rows = []
     for f in table_for_file(files, tables).orderBy("file").toLocalIterator():
         if f["size"] == 0 or f["table"] is None:

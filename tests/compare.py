@@ -54,6 +54,15 @@ def differences(df, con, sql: str) -> str | None:
     return None if got[1] else "no rows"
 
 
+SAME = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN"}
+
+
+def type_differences(df, con, sql: str) -> list[str]:
+    """Columns whose types differ, such as INTEGER and BIGINT."""
+    theirs = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return [f"{f.name}: {f.dataType.simpleString()} / {theirs.get(f.name)}" for f in df.schema if SAME.get(f.dataType.simpleString()) != theirs.get(f.name)]
+
+
 def main() -> int:
     from __spark_entry__ import oracle_sql, queries
     from medweave.session import get_session
@@ -68,7 +77,8 @@ def main() -> int:
         begin = time.time()
         try:
             if name in sql:
-                problem = differences(run(spark, folder), con, sql[name])
+                df = run(spark, folder)
+                problem = differences(df, con, sql[name]) or (f"types {t}" if (t := type_differences(df, con, sql[name])) else None)
             else:
                 problem = None if run(spark, folder).count() else "no rows"
         except Exception as e:
