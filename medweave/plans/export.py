@@ -7,16 +7,15 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from medweave.functions.access import EXPORT_ROW_CAP, RESERVED_COLUMNS
+from medweave.functions.access import EXPORT_DAYS, EXPORT_ROW_CAP, RESERVED_COLUMNS, clean_location, parse_cohort_filter, parse_selected_columns
 from medweave.operators.ordering import row_cap
+from medweave.plans import governance as g
 from medweave.sources.files import list_files, read_files
 from medweave.sources.tables import to_csv_rfc4180, to_json
 
 
 def dataset_meta(catalog: DataFrame, dataset_id: str) -> DataFrame:
     """Location and consent context of a dataset; no row when the catalog lacks it."""
-    from medweave.functions.access import clean_location
-
     return catalog.where(F.col("dataset_id") == dataset_id).select(
         clean_location(F.col("volume_location")).alias("location"),
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("consent_group", "access_tier", "dbgap_status")],
@@ -132,3 +131,53 @@ def deliver(spark: SparkSession, table: str, fmt: str, path: str) -> None:
     """Write an artifact in the format asked for: JSON or, by default, CSV."""
     df = spark.table(table)
     to_json(df, path) if (fmt or "csv").lower() in ("json", "jsonl") else to_csv_rfc4180(df, path)
+
+
+def approve(
+    spark: SparkSession, requests: DataFrame, catalog: DataFrame, database: str, request_id: str, steward: str, comment: str | None, at: str,
+    is_steward: bool, cap: int = EXPORT_ROW_CAP,
+) -> tuple[DataFrame, DataFrame]:
+    """A steward approves one request: the requests as they are then, and the audit event.
+
+    The stored cohort definition is checked against the source again when the artifact is written; a
+    dataset without files is approved without an output. Anyone else leaves the requests as they are.
+    """
+    when = F.lit(at).cast("timestamp")
+    one = requests.where(F.col("request_id") == request_id)
+    if not is_steward:
+        reason = F.struct(F.lit("not_a_steward").alias("reason"))
+        return requests, g.event_envelope(spark.range(1), F.lit(steward), "approve_export", F.lit(request_id), "blocked", reason, when)
+    row = one.select(
+        "request_id", "dataset", "submitter", parse_selected_columns(F.col("selected_columns")).alias("selected_columns"),
+        parse_cohort_filter(F.col("cohort_filter")).alias("cohort_filter"), (when + F.make_dt_interval(F.lit(EXPORT_DAYS))).cast("string").alias("until"),
+    ).first()
+    if row is None:
+        raise LookupError(f"no request {request_id}")
+    asked = row.asDict(recursive=True)
+    made = export_artifact(spark, catalog, database, asked, steward, row["until"], cap)
+    action = spark.range(1).select(
+        F.lit(request_id).alias("request_id"), F.lit("approve").alias("kind"), F.lit(steward).alias("steward"), F.lit(comment).cast("string").alias("steward_comment"),
+        when.alias("acted_at"), F.lit(made and made["table"]).cast("string").alias("output_table"),
+    )
+    details = F.struct(
+        F.lit(request_id).alias("id"), F.lit(made and made["table"]).cast("string").alias("output_table"), F.lit(made and made["row_count"]).cast("long").alias("row_count"),
+        F.lit(bool(made and made["projected"])).alias("cohort_projected"), F.lit(bool(made and made["filtered"])).alias("cohort_filtered"),
+    )
+    event = g.event_envelope(one, F.lit(steward), "approve_export", F.col("dataset"), "approved", details, when)
+    return g.transition(requests, action), event
+
+
+def download(
+    spark: SparkSession, requests: DataFrame, decisions: DataFrame, request_id: str, user: str, enabled: bool, at: str, path: str
+) -> tuple[str, DataFrame]:
+    """Deliver an artifact when every gate is open: the gate that decided, and the audit event."""
+    when = F.lit(at).cast("timestamp")
+    gated = g.download_decisions(requests.where(F.col("request_id") == request_id), decisions, user, enabled, when)
+    row = gated.select("gate", "output_table", "format", "dataset").first()
+    gate = "not_found" if row is None else row["gate"]
+    if gate == "allowed":
+        deliver(spark, row["output_table"], row["format"], path)
+    details = F.struct(F.lit(request_id).alias("id"), F.lit(gate).alias("reason"), F.lit("direct_download").alias("egress_path"))
+    outcome = "allowed" if gate == "allowed" else "blocked"
+    event = g.event_envelope(spark.range(1), F.lit(user), "download_export", F.lit(row["dataset"] if row else ""), outcome, details, when)
+    return gate, event

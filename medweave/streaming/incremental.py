@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from medweave import schemas as S
 from medweave.sources.tables import convert, load_paths
@@ -40,4 +40,5 @@ def copy_new_files(
 
     query = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(out)
+    stored = StructType([*[StructField(f.name, f.dataType) for f in target], StructField("loaded_from", StringType()), StructField("load_batch", LongType())])
+    return spark.read.schema(stored).parquet(out)

@@ -173,3 +173,34 @@ def test_artifact_end_to_end(spark, tmp_path, perms):
     assert next(out.glob("part-*")).read_bytes() == b'name,id\r\n"x, ""y""",1\r\nplain,2\r\n'
     assert export.export_artifact(spark, catalog, "exports", {**asked, "dataset": "none"}, "boss", "x") is None
     assert export.export_artifact(spark, catalog, "exports", {**asked, "dataset": "zz"}, "boss", "x") is None
+
+
+def test_request_from_submission_to_download(spark, tmp_path, perms):
+    source = tmp_path / "study"
+    source.mkdir()
+    (source / "a.csv").write_text("id,v\n1,5\n2,9\n")
+    catalog = spark.createDataFrame([("con", "C", "controlled_access", "c1", "s", str(source))], CATALOG)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS flow LOCATION '{tmp_path}/db'")
+    stored = ", selected_columns string, cohort_filter string"
+    asked = spark.createDataFrame([(*request("r1", status="new", table=None), '["id"]', '{"column":"v","op":"gt","value":6}')], REQUESTS + stored)
+    pending, blocked = g.submit(asked, catalog, perms, NOW)
+    assert blocked.count() == 0
+    same, event = export.approve(spark, pending, catalog, "flow", "r1", "zed", None, "2025-03-01", False)
+    assert same.first()["status"] == "pending" and event.first()["outcome"] == "blocked"
+    after, event = export.approve(spark, pending, catalog, "flow", "r1", "boss", "ok", "2025-03-01", True)
+    row = after.first()
+    assert (row["status"], row["output_table"], row["expires_at"]) == ("approved", "flow.req_r1", dt.datetime(2025, 3, 8))
+    assert '"row_count":1,"cohort_projected":true,"cohort_filtered":true' in event.first()["details"]
+    decisions = g.export_decision(catalog, perms, "ann", NOW)
+    gate, event = export.download(spark, after, decisions, "r1", "ann", True, "2025-03-02", str(tmp_path / "got"))
+    assert gate == "allowed" and event.first()["outcome"] == "allowed"
+    assert spark.read.option("header", True).csv(str(tmp_path / "got")).first()["id"] == "2"
+    assert export.download(spark, after, decisions, "r1", "ann", True, "2025-04-02", "unused")[0] == "export_expired"
+    assert export.download(spark, after, decisions, "zz", "ann", True, "2025-04-02", "unused")[0] == "not_found"
+
+
+def test_seed_replaces(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS seeds LOCATION '{tmp_path}/db'")
+    for rows in ([("a", 1)], [("b", 2), ("c", 3)]):
+        g.seed(spark, rows, "u string, n int", "seeds.grants")
+    assert sorted(r["u"] for r in spark.table("seeds.grants").collect()) == ["b", "c"]
