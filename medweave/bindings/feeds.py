@@ -12,6 +12,7 @@ from medweave.bindings.vocab import DOMAINS
 from medweave.functions.vocabulary import DESTINATION
 from medweave.plans import claims as C
 from medweave.schemas import OUTPUT_TABLES
+from medweave.session import settle
 
 _DOMAIN_ROWS = ", ".join(f"({i}, '{d}')" for i, d in enumerate(DOMAINS))
 _ROUTES = ", ".join(f"('{k}', '{v}')" for k, v in DESTINATION.items())
@@ -111,7 +112,8 @@ def feed(t: Tables, name: str) -> DataFrame:
 
 
 def given(t: Tables) -> C.ClaimsInput:
-    return C.ClaimsInput(**{name: feed(t, name) for name in FEED_SQL})
+    """The feeds as the conversion wants them: read straight from tables (the joined one is written first)."""
+    return C.ClaimsInput(**{name: settle(feed(t, name)) if name == "prescription" else feed(t, name) for name in FEED_SQL})
 
 
 _done: dict[tuple[str, str], C.ClaimsOutput] = {}
