@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +15,7 @@ SPACES = " \t\n\x0b\x0c\r"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+SHIPPED: dict[str, str] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,7 +26,11 @@ def query(name: str, sql: str | None = None):
     """Register ``f(spark, folder)`` under ``name``; ``sql`` computes the same rows."""
 
     def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return f(spark, folder)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql.strip()
         return f
@@ -29,6 +38,20 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, unless their Python finds it by itself."""
+    root = Path(__file__).resolve().parents[2]
+    local = spark.sparkContext.master.startswith("local[") and Path.cwd() == root
+    if local or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or SHIPPED.get("to") == spark.sparkContext.applicationId:
+        return
+    zipped = Path(tempfile.mkdtemp(), "medweave.zip")  # on the driver, from where Spark hands it to the executors
+    with zipfile.ZipFile(zipped, "w") as out:
+        for path in sorted(root.joinpath("medweave").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    spark.sparkContext.addPyFile(str(zipped))
+    SHIPPED["to"] = spark.sparkContext.applicationId
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """``names`` with underscores put before them until none is a column of ``df`` (whatever the case)."""
     taken, out = {c.lower() for c in df.columns}, []
