@@ -13,7 +13,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
-WORDS_KEPT = 700_000  # entries of a worker's table before it is emptied and filled again: about 150 MB
+WORDS_KEPT = 1_000_000  # entries of a worker's table before it is emptied and filled again: about 200 MB
 LETTERS = "".join(c for c in map(chr, range(0x100)) if c.isalpha() and c not in "ªµº")
 #: Letters, then ASCII punctuation without quotes; no digits.
 SIMPLE = re.compile(rf"([{LETTERS}]*)([!-&(-/:-@\[-`{{-~]{{0,8}})")
