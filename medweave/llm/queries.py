@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from medweave.llm import chat_format, language_id, line_dedup, near_dedup, packing, quality_rules, token_files  # noqa: F401
+from medweave.llm import chat_format, language_id, line_dedup, near_dedup, packing, quality_rules, token_counts, token_files, vp_tree  # noqa: F401
 from medweave.llm.common import ORACLE, QUERIES  # noqa: F401
