@@ -6,9 +6,9 @@ shingles both the least and the greatest value go into the signature, so that 32
 Bands of three values propose pairs (a pair of similarity 0.8 shares none of the 21 bands once in three million
 times); a pair counts only when the whole sets confirm it.
 
-Equal sets are one class before anything is paired. Within a bucket the classes are first compared with one
-pivot each, twice; after that only pairs that no found component joins are left, so a large group of near copies
-costs a few comparisons per class, not one per pair. All pairs that share a band and lie in different
+Equal sets are one class before anything is paired. Every class is first compared with the least one
+it shares a bucket with, then, as long as it lies outside its bucket's largest component, with one class of that in
+each turn; a large group of near copies so costs a few comparisons per class, not one per pair. All pairs that share a band and lie in different
 components are compared in the end, whatever a bucket's size.
 
 A NULL text is empty. A row without a doc_id is linked with nothing and stays. Rows that repeat a doc_id and a text
@@ -25,6 +25,7 @@ from medweave.llm.common import query, table
 from medweave.session import settle
 
 PERMUTATIONS, ROWS = 32, 3
+PIVOT_TURNS = 3  # comparisons with a pivot per bucket before all pairs between components
 BANDS = 2 * PERMUTATIONS // ROWS
 WORDS_KEPT = 500_000  # word hashes a Python worker remembers before it starts again
 BATCH_WORDS = 1 << 19  # words that are hashed at a time
@@ -182,20 +183,29 @@ def ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def mains(opened: DataFrame) -> DataFrame:
+    """Per bucket the component that most of its classes are in."""
+    sizes = opened.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.groupBy("key").agg(F.max_by("label", "_n").alias("_main"))
+
+
+def to_least(buckets: DataFrame) -> DataFrame:
+    """Each class with the least class it shares a bucket with."""
+    least = buckets.groupBy("key").agg(F.min("rep").alias("_pivot"))
+    return buckets.join(least, "key").groupBy("rep").agg(F.min("_pivot").alias("a")).where("a < rep").select("a", F.col("rep").alias("b"))
+
+
 def to_pivots(opened: DataFrame, turn: int) -> DataFrame:
-    """Each class with its bucket's pivot: the least class first, then one by hash."""
-    rank = F.col("rep") if turn == 0 else F.xxhash64(F.lit(turn), "rep")
-    ranked = opened.withColumn("_rank", rank)
-    first = ranked.groupBy("key").agg(F.min("_rank").alias("_rank"))
-    pivots = ranked.join(first, ["key", "_rank"]).select("key", F.col("rep").alias("_pivot"), F.col("label").alias("_label"))
-    return opened.join(pivots, "key").where(F.col("label") != F.col("_label")).select(F.col("_pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    """Classes outside their bucket's largest component with one class of it, another one in each turn."""
+    split = opened.join(mains(opened), "key")
+    inside = split.where("label = _main").groupBy("key").agg(F.min(F.xxhash64(F.lit(turn), "rep")).alias("_rank"))
+    pivots = opened.withColumn("_rank", F.xxhash64(F.lit(turn), "rep")).join(inside, ["key", "_rank"]).select("key", F.col("rep").alias("_pivot"))
+    return split.where("label != _main").join(pivots, "key").select(*ordered("rep", "_pivot")).distinct()
 
 
 def across(opened: DataFrame) -> DataFrame:
     """All pairs of a bucket that lie in different components: classes outside its largest component against all."""
-    sizes = opened.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.groupBy("key").agg(F.max_by("label", "_n").alias("_main"))
-    outside = opened.join(largest, "key").where(F.col("label") != F.col("_main")).select("key", F.col("rep").alias("_rep"), F.col("label").alias("_label"))
+    outside = opened.join(mains(opened), "key").where(F.col("label") != F.col("_main")).select("key", F.col("rep").alias("_rep"), F.col("label").alias("_label"))
     return opened.join(outside, "key").where(F.col("label") != F.col("_label")).select(*ordered("rep", "_rep")).distinct()
 
 
@@ -211,10 +221,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets = settle(whole_sets(docs.select("doc_id", "text").join(wanted, docs["doc_id"].cast("long") == wanted["rep"], "left_semi"), width).where(F.size("shingles") > 0).distinct())
 
     edges = labels = tested = None
-    for turn in range(3):
-        opened = settle(with_labels(buckets, labels)) if labels is not None else buckets.select("key", "rep", F.col("rep").alias("label"))
-        pairs = to_pivots(opened, turn) if turn < 2 else across(opened)
-        pairs = pairs.select(*ordered("a", "b")).distinct() if turn else pairs
+    for turn in range(PIVOT_TURNS + 2):
+        opened = settle(with_labels(buckets, labels)) if turn else buckets
+        pairs = to_least(opened) if turn == 0 else to_pivots(opened, turn) if turn <= PIVOT_TURNS else across(opened)
         pairs = settle(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             if turn:
