@@ -9,7 +9,8 @@ times); a pair counts only when the whole sets confirm it.
 Equal sets are one class before anything is paired. Every class is first compared with the least one
 it shares a bucket with, then, as long as it lies outside its bucket's largest component, with one class of that in
 each turn; a large group of near copies so costs a few comparisons per class, not one per pair. All pairs that share a band and lie in different
-components are compared in the end, whatever a bucket's size.
+components are compared in the end, whatever a bucket's size,
+but for those whose counts of rare shingles show that they cannot be similar enough.
 
 A NULL text is empty. A row without a doc_id is linked with nothing and stays. Rows that repeat a doc_id and a text
 are one document; two texts under one doc_id are looked at each for itself, and the document goes if one of them does.
@@ -25,7 +26,7 @@ from medweave.llm.common import query, table
 from medweave.session import settle
 
 PERMUTATIONS, ROWS = 32, 3
-PIVOT_TURNS = 3  # comparisons with a pivot per bucket before all pairs between components
+PIVOT_TURNS = 1  # comparisons with a pivot per bucket before all pairs between components
 BANDS = 2 * PERMUTATIONS // ROWS
 WORDS_KEPT = 500_000  # word hashes a Python worker remembers before it starts again
 BATCH_WORDS = 1 << 19  # words that are hashed at a time
@@ -203,10 +204,48 @@ def to_pivots(opened: DataFrame, turn: int) -> DataFrame:
     return split.where("label != _main").join(pivots, "key").select(*ordered("rep", "_pivot")).distinct()
 
 
-def across(opened: DataFrame) -> DataFrame:
-    """All pairs of a bucket that lie in different components: classes outside its largest component against all."""
-    outside = opened.join(mains(opened), "key").where(F.col("label") != F.col("_main")).select("key", F.col("rep").alias("_rep"), F.col("label").alias("_label"))
-    return opened.join(outside, "key").where(F.col("label") != F.col("_label")).select(*ordered("rep", "_rep")).distinct()
+def shared_by_few(opened: DataFrame, sets: DataFrame) -> DataFrame:
+    """Groups of up to three classes (``a``, ``c``, ``b``; fewer repeat a member) and how many shingles only they hold, among the classes of ``opened``."""
+    held = sets.join(opened.select("rep").distinct(), "rep", "left_semi").select("rep", F.explode("shingles").alias("shingle"))
+    holders = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n"), F.min("rep").alias("a"), F.max("rep").alias("b"), F.bit_xor("rep").alias("_x"))
+    third = F.when(F.col("_n") == 3, F.col("_x").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("b"))).otherwise(F.col("a"))
+    return holders.where("_n <= 3").groupBy("a", third.alias("c"), "b").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def class_sizes(opened: DataFrame, sets: DataFrame, few: DataFrame) -> DataFrame:
+    """Per class ``rep`` its component ``label``, ``size`` of its set and ``common``, the shingles that more than three classes hold."""
+    rare = few.select(F.explode(F.array_distinct(F.array("a", "c", "b"))).alias("rep"), "shared").groupBy("rep").agg(F.sum("shared").alias("_rare"))
+    # a doc_id with two texts has two sets: bounds that hold for both
+    sizes = sets.select("rep", F.size("shingles").cast("long").alias("_n")).groupBy("rep").agg(F.min("_n").alias("size"), F.max("_n").alias("_most"))
+    own = opened.select("rep", "label").distinct().join(sizes, "rep").join(rare, "rep", "left")
+    common = F.when(F.col("size") == F.col("_most"), F.col("size") - F.coalesce("_rare", F.lit(0))).otherwise(F.col("_most"))
+    return own.select("rep", "label", "size", common.alias("common"))
+
+
+def may_link(x: str, y: str, percent: int, shared: Column) -> Column:
+    """Whether two classes of different components can be similar enough, if they have ``shared`` rare shingles in common."""
+    most = F.least(f"{x}.common", f"{y}.common") + shared
+    return (F.col(f"{x}.label") != F.col(f"{y}.label")) & (100 * most >= percent * (F.col(f"{x}.size") + F.col(f"{y}.size") - most))
+
+
+def across(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of a bucket in different components that can be similar enough.
+
+    A shingle that at most three open classes hold is rare. Two classes share at most the smaller one's common shingles
+    and the rare ones they hold both; pairs with rare ones in common are listed by those, all others meet in their
+    buckets, where the bound lets only few of them through.
+    """
+    few = settle(shared_by_few(opened, sets))
+    sizes = settle(class_sizes(opened, sets, few))
+    listed = few.select(F.explode(F.array_distinct(F.array(*[F.struct(*ordered(p, q)) for p, q in (("a", "c"), ("c", "b"), ("a", "b"))]))).alias("p"), "shared")
+    listed = listed.where("p.a < p.b").groupBy("p.a", "p.b").agg(F.sum("shared").alias("shared"))
+    of_rare = listed.join(sizes.alias("x"), F.col("a") == F.col("x.rep")).join(sizes.alias("y"), F.col("b") == F.col("y.rep"))
+    of_rare = of_rare.where(may_link("x", "y", percent, F.col("shared"))).select("a", "b")
+    marked = settle(opened.select("key", "rep").join(sizes, "rep"))
+    outside = marked.join(mains(opened), "key").where(F.col("label") != F.col("_main")).drop("_main")
+    x, y = marked.alias("x"), outside.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & may_link("x", "y", percent, F.lit(0)))
+    return met.select(*ordered("x.rep", "y.rep")).unionByName(of_rare).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -223,7 +262,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     edges = labels = tested = None
     for turn in range(PIVOT_TURNS + 2):
         opened = settle(with_labels(buckets, labels)) if turn else buckets
-        pairs = to_least(opened) if turn == 0 else to_pivots(opened, turn) if turn <= PIVOT_TURNS else across(opened)
+        pairs = to_least(opened) if turn == 0 else to_pivots(opened, turn) if turn <= PIVOT_TURNS else across(opened, sets, percent)
         pairs = settle(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             if turn:
