@@ -393,7 +393,7 @@ def audit_projection(t):
 
 @query("system_audit", f"{_AUDIT} SELECT {_AUDIT_COLS} FROM p WHERE event_date >= DATE '2024-02-10' - 30 AND target <> '' ORDER BY event_time DESC LIMIT 200")
 def system_audit(t):
-    return g.system_audit(_audit(t), _today(), _PATTERNS)
+    return g.system_audit(_audit(t), _today(), _PATTERNS, 200)
 
 
 @query(

@@ -434,7 +434,7 @@ def export_artifact(t):
     t.part.write.option("header", True).csv(location)
     catalog = t.spark.createDataFrame([("D1", location + "/", "c1", "open_access", "s")], "dataset_id string, volume_location string, consent_group string, access_tier string, dbgap_status string")
     request = {"request_id": "r-1", "dataset": "D1", "submitter": "u", "selected_columns": ["P_NAME", "p_size"], "cohort_filter": {"column": "p_size", "op": "gte", "value": "25"}}
-    made = export.export_artifact(t.spark, catalog, _database(t), request, "boss", "2026-01-01", cap=1 << 30)
+    made = export.export_artifact(t.spark, catalog, _database(t), request, "boss", "2026-01-01")
     export.deliver(t.spark, made["table"], "csv", out)
     got = t.spark.read.option("header", True).csv(out).drop("_exported_at")
     return got.withColumn("p_size", F.col("p_size").cast("int"))

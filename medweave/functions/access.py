@@ -15,7 +15,6 @@ BASIS = {
     "missing": "No matching approved DAR found for this dataset/consent group",
 }
 RESERVED_COLUMNS = ("_rescued_data",)
-EXPORT_ROW_CAP = 100_000
 EXPORT_DAYS = 7
 
 

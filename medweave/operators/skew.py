@@ -32,6 +32,10 @@ def _with_pieces(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     return marked.withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
 
 
+def _without_maps(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
@@ -42,14 +46,17 @@ def skew_join(
 ) -> DataFrame:
     """Equi join on equally named columns; hot keys of ``left`` are split by a salt.
 
-    Rows of ``left`` with a hot key get a salt from a hash of ``salt_by`` (all columns by default;
-    give the columns that identify a row), which is the same when a task is run again. Rows of
-    ``right`` are repeated once per piece, for hot keys only.
+    Rows of ``left`` with a hot key get a salt from a hash of ``salt_by`` (all columns without maps
+    by default; give the columns that identify a row: equal rows get one salt), which is the same
+    when a task is run again. Rows of ``right`` are repeated once per piece, for hot keys only; semi
+    and anti joins need each key of it once.
     """
     if how not in LEFT_SIDED:
         raise ValueError(f"how must be one of {LEFT_SIDED}, got {how!r}")
+    if how in ("left_semi", "left_anti"):
+        right = right.select(*on).distinct()
     hot = hot_keys(left, on, hot_rows)
-    salt = F.pmod(F.xxhash64(*(salt_by or left.columns)), F.col("_pieces").cast("long")).cast("int")
+    salt = F.pmod(F.xxhash64(*(salt_by or _without_maps(left) or [F.lit(0)])), F.col("_pieces").cast("long")).cast("int")
     salted = _with_pieces(left, hot, on).withColumn("_salt", salt).drop("_pieces")
     repeated = (
         _with_pieces(right, hot, on)

@@ -91,7 +91,7 @@ def unmapped_codes(codes: DataFrame, mapping: DataFrame, salt_by: list[str] | No
     return lookup_join(codes, mapping.select("vocab", "code").distinct(), ["vocab", "code"], "left_anti", salt_by)
 
 
-def unmapped_frequency(codes: DataFrame, mapping: DataFrame, min_count: int = 50) -> DataFrame:
+def unmapped_frequency(codes: DataFrame, mapping: DataFrame, min_count: int = 1) -> DataFrame:
     """How often each unknown code occurs, most frequent first; counted before the map is looked up."""
     counted = codes.groupBy("vocab", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
     return counted.join(mapping.select("vocab", "code").distinct(), ["vocab", "code"], "left_anti").orderBy(

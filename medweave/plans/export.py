@@ -7,8 +7,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from medweave.functions.access import EXPORT_DAYS, EXPORT_ROW_CAP, RESERVED_COLUMNS, clean_location, parse_cohort_filter, parse_selected_columns
-from medweave.operators.ordering import row_cap
+from medweave.functions.access import EXPORT_DAYS, RESERVED_COLUMNS, clean_location, parse_cohort_filter, parse_selected_columns
+from medweave.operators.ordering import Order, top_n
 from medweave.plans import governance as g
 from medweave.sources.files import list_files, read_files
 from medweave.sources.tables import to_csv_rfc4180, to_json
@@ -86,9 +86,14 @@ def consent_columns(df: DataFrame, meta: dict[str, str], at: Column | None = Non
     return df.withColumns({n: F.lit(meta.get(k) or "") for n, k in names.items()} | {"_exported_at": stamp})
 
 
-def export_rows(source: DataFrame, columns: list[str], definition: dict | None, meta: dict[str, str], cap: int = EXPORT_ROW_CAP, at: Column | None = None) -> DataFrame:
-    """The rows of an artifact: filter, projection, consent columns, at most ``cap`` rows."""
-    return row_cap(consent_columns(project_whitelist(cohort_filter(source, definition), columns), meta, at), cap)
+def export_rows(source: DataFrame, columns: list[str], definition: dict | None, meta: dict[str, str], cap: int | None = None, at: Column | None = None, order: Order = ()) -> DataFrame:
+    """The rows of an artifact: filter, projection, consent columns. All rows; with ``cap`` the first so many in ``order``."""
+    rows = cohort_filter(source, definition)
+    if cap is not None:
+        if not order:
+            raise ValueError("a cap needs the order that says which rows stay")
+        rows = top_n(rows, order, cap)
+    return consent_columns(project_whitelist(rows, columns), meta, at)
 
 
 def artifact_table(request_id: str) -> str:
@@ -96,12 +101,13 @@ def artifact_table(request_id: str) -> str:
 
 
 def export_artifact(
-    spark: SparkSession, catalog: DataFrame, database: str, request: dict, steward: str, expires_at: str, cap: int = EXPORT_ROW_CAP
+    spark: SparkSession, catalog: DataFrame, database: str, request: dict, steward: str, expires_at: str, cap: int | None = None, order: Order = ()
 ) -> dict | None:
     """Write the artifact of a request as a table with its provenance as table properties.
 
     ``request`` holds ``request_id, dataset, submitter, selected_columns, cohort_filter``. Nothing is
-    written, and None returned, when the dataset has no files.
+    written, and None returned, when the dataset has no files. With ``cap`` the properties also say how many
+    rows there were.
     """
     meta = dataset_meta(catalog, request["dataset"]).first()
     if meta is None or not meta["location"]:
@@ -112,7 +118,7 @@ def export_artifact(
     source = read_files(spark, meta["location"], first["name"])
     columns, definition = request.get("selected_columns") or [], request.get("cohort_filter")
     given = {**meta.asDict(), "dataset": request["dataset"], "submitter": request["submitter"], "expires_at": expires_at, "request_id": request["request_id"]}
-    rows = export_rows(source, columns, definition, given, cap)
+    rows = export_rows(source, columns, definition, given, cap, order=order)
     filtered = cohort_condition(source, definition) is not None
     projected = project_whitelist(source, columns) is not source
     tags = {
@@ -120,6 +126,9 @@ def export_artifact(
         "access_tier": given["access_tier"], "submitter": request["submitter"], "approved_by": steward, "expires_at": expires_at,
         "cohort_filtered": str(filtered).lower(), "cohort_projected": str(projected).lower(),
     }
+    if cap is not None:
+        total = cohort_filter(source, definition).count()
+        tags |= {"capped": str(total > cap).lower(), "row_count_before_cap": str(total)}
     table = f"{database}.{artifact_table(request['request_id'])}"
     rows.write.mode("overwrite").format("parquet").saveAsTable(table)
     listed = ", ".join("'{}' = '{}'".format(k, v.replace("\\", "\\\\").replace("'", "\\'")) for k, v in tags.items())
@@ -135,7 +144,7 @@ def deliver(spark: SparkSession, table: str, fmt: str, path: str) -> None:
 
 def approve(
     spark: SparkSession, requests: DataFrame, catalog: DataFrame, database: str, request_id: str, steward: str, comment: str | None, at: str,
-    is_steward: bool, cap: int = EXPORT_ROW_CAP,
+    is_steward: bool, cap: int | None = None, order: Order = (),
 ) -> tuple[DataFrame, DataFrame]:
     """A steward approves one request: the requests as they are then, and the audit event.
 
@@ -154,7 +163,7 @@ def approve(
     if row is None:
         raise LookupError(f"no request {request_id}")
     asked = row.asDict(recursive=True)
-    made = export_artifact(spark, catalog, database, asked, steward, row["until"], cap)
+    made = export_artifact(spark, catalog, database, asked, steward, row["until"], cap, order)
     action = spark.range(1).select(
         F.lit(request_id).alias("request_id"), F.lit("approve").alias("kind"), F.lit(steward).alias("steward"), F.lit(comment).cast("string").alias("steward_comment"),
         when.alias("acted_at"), F.lit(made and made["table"]).cast("string").alias("output_table"),

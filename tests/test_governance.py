@@ -175,6 +175,22 @@ def test_artifact_end_to_end(spark, tmp_path, perms):
     assert export.export_artifact(spark, catalog, "exports", {**asked, "dataset": "zz"}, "boss", "x") is None
 
 
+def test_artifacts_hold_all_rows(spark, tmp_path):
+    source = tmp_path / "large"
+    spark.range(150_000).write.parquet(str(source))
+    catalog = spark.createDataFrame([("ds", "S", "open_access", "c1", "s", str(source))], CATALOG)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS whole LOCATION '{tmp_path}/db'")
+    asked = {"request_id": "r1", "dataset": "ds", "submitter": "a"}
+    rows = spark.read.parquet(str(source))
+    assert export.export_rows(rows, [], None, asked).count() == 150_000
+    with pytest.raises(ValueError):
+        export.export_rows(rows, [], None, asked, cap=10)
+    made = export.export_artifact(spark, catalog, "whole", asked, "boss", "2026-01-01", cap=10, order=["id"])
+    properties = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {made['table']}").collect()}
+    assert made["row_count"] == 10 and spark.table(made["table"]).agg(F.max("id")).first()[0] == 9
+    assert (properties["capped"], properties["row_count_before_cap"]) == ("true", "150000")
+
+
 def test_request_from_submission_to_download(spark, tmp_path, perms):
     source = tmp_path / "study"
     source.mkdir()

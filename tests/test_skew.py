@@ -48,6 +48,24 @@ def test_join_kinds(spark, how):
     assert sorted(map(repr, got.collect())) == want and len(want) > 0
 
 
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+def test_many_right_rows_of_a_hot_key_count_once(spark, how, monkeypatch):
+    left, right = sides(spark)
+    many, seen = right.crossJoin(spark.range(1000)).drop("id"), []
+    pieces = skew._with_pieces
+    monkeypatch.setattr(skew, "_with_pieces", lambda df, hot, keys: seen.append(df.count()) or pieces(df, hot, keys))
+    got = skew.skew_join(left, many, ["k"], how, ["v"], hot_rows=10)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, left.join(right, ["k"], how).collect()))
+    assert seen == [1000, 3]
+
+
+@pytest.mark.parametrize("columns", [["k", "v", "m"], ["k", "m"]])
+def test_columns_that_hold_maps(spark, columns):
+    left, right = sides(spark)
+    left = left.withColumn("m", F.create_map(F.lit("x"), F.array(F.create_map(F.lit("y"), F.col("v"))))).select(*columns)
+    assert skew.skew_join(left, right, ["k"], "left", hot_rows=10).count() == left.join(right, ["k"], "left").count()
+
+
 def test_other_kinds_are_refused(spark):
     left, right = sides(spark)
     with pytest.raises(ValueError):
