@@ -185,6 +185,30 @@ def test_language(spark, odd, none):
     assert language_id.identify(none, model).collect() == []
 
 
+def test_language_not_known(spark):
+    """Texts in languages that were not learned, letter noise, half and half, and numbers with a letter go; clean ones stay."""
+    docs, rng = documents(spark, "/root/testdata/sf0.01"), np.random.default_rng(7)
+    noise = lambda n: " ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(2, 10)))) for _ in range(n))
+    fr, es = ((docs.where((F.col("lang") == lang) & (F.length("text") > 1000)).orderBy("doc_id").first()["text"])[:500] for lang in ("fr", "es"))
+    texts = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        noise(5), noise(50), noise(500), "12 34 a 56 78 " * 30, f"{fr}\n{es}",
+    ]
+    planted = spark.createDataFrame([(10_000_000 + k, text) for k, text in enumerate(texts)], "doc_id long, text string")
+    all_of = docs.unionByName(planted, allowMissingColumns=True)
+    kept = {r["doc_id"] for r in corpus_pipeline.known_language(spark, all_of, FOLDER).collect()}
+    assert not {d for d in kept if d >= 10_000_000}
+    assert kept == {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+    two = docs.where("lang in ('de', 'en')")
+    assert {language_id.learn(two).predict(t)[1] < 0.5 for t in (*texts[:-1], fr)} == {True}
+    one = language_id.learn(docs.where("lang = 'fr'"))
+    assert one.predict(fr)[1] >= 0.5 > one.predict(noise(50))[1] and one.predict(texts[0])[0] == "fr"
+
+
 def test_pipeline(spark):
     docs, kept = documents(spark), []
     for name, stage in corpus_pipeline.STAGES:
