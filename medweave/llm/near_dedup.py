@@ -215,10 +215,10 @@ def shared_by_few(opened: DataFrame, sets: DataFrame) -> DataFrame:
 def class_sizes(opened: DataFrame, sets: DataFrame, few: DataFrame) -> DataFrame:
     """Per class ``rep`` its component ``label``, ``size`` of its set and ``common``, the shingles that more than three classes hold."""
     rare = few.select(F.explode(F.array_distinct(F.array("a", "c", "b"))).alias("rep"), "shared").groupBy("rep").agg(F.sum("shared").alias("_rare"))
-    # a doc_id with two texts has two sets: bounds that hold for both
-    sizes = sets.select("rep", F.size("shingles").cast("long").alias("_n")).groupBy("rep").agg(F.min("_n").alias("size"), F.max("_n").alias("_most"))
+    # a doc_id with two texts has two sets, whose rare shingles are counted together: bounds that hold for both
+    sizes = sets.select("rep", F.size("shingles").cast("long").alias("_n")).groupBy("rep").agg(F.min("_n").alias("size"), F.max("_n").alias("_most"), F.count(F.lit(1)).alias("_sets"))
     own = opened.select("rep", "label").distinct().join(sizes, "rep").join(rare, "rep", "left")
-    common = F.when(F.col("size") == F.col("_most"), F.col("size") - F.coalesce("_rare", F.lit(0))).otherwise(F.col("_most"))
+    common = F.when(F.col("_sets") == 1, F.col("size") - F.coalesce("_rare", F.lit(0))).otherwise(F.col("_most"))
     return own.select("rep", "label", "size", common.alias("common"))
 
 

@@ -91,6 +91,18 @@ def test_near_odd(spark, odd, none):
     assert near_dedup.near_duplicates(none).collect() == [] and near_dedup.drop_near_duplicates(none).collect() == []
 
 
+def test_near_two_texts_of_an_id(spark):
+    """Two equally long texts under one doc_id, one of common shingles and one of rare ones: what is like the first meets it in the last comparison."""
+    first, rare = list(range(100)), list(range(1000, 1100))
+    like, others = [*range(90), *range(2000, 2010)], [[*range(100), *range(3000 + 100 * k, 3090 + 100 * k)] for k in range(4)]
+    sets = spark.createDataFrame([(1, first), (1, rare), (2, like), *[(10 + k, o) for k, o in enumerate(others)]], "rep long, shingles array<long>")
+    # the bucket's main component is that of the four others
+    opened = spark.createDataFrame([(7, 1, 1), (7, 2, 2), *[(7, 10 + k, 10) for k in range(4)]], "key long, rep long, label long")
+    pairs = near_dedup.across(opened, sets, 80)
+    assert (1, 2) in {tuple(r) for r in pairs.collect()}
+    assert {tuple(r) for r in near_dedup.confirmed(pairs, sets, 80).collect()} == {(1, 2)}
+
+
 def brute_nearest(rows, k):
     rows = [r for r in rows if r[0] is not None and r[1] and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])]
     if not rows:
