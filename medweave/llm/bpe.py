@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame, functions as F
 from medweave.llm.common import query, table
 
 SHORT = 64  # bytes of a pre-token that is merged in step with others
-STEP_BYTES = 4 << 20  # bytes of pre-tokens that are merged in step
-KEPT_WORDS, KEPT_BYTES = 500_000, 48 << 20  # a worker's table is emptied at either
-RUN_BYTES = 4 << 20  # bytes of texts whose new pre-tokens are merged together
+STEP_BYTES = 2 << 20  # bytes of pre-tokens that are merged in step
+KEPT_WORDS, KEPT_BYTES = 250_000, 16 << 20  # a worker's table is emptied at either
+RUN_CHARS = 1 << 20  # characters of texts whose new pre-tokens are merged together
+OUT_BYTES = 4 << 20  # bytes of ids in one batch of results
 NO_RANK = 1 << 40
 ENCODED, DECODED = "doc_id long, ids array<int>", "doc_id long, ids array<int>, text string"
 
@@ -50,33 +51,33 @@ class Bpe:
     def __init__(self, path: str, kept_words: int = KEPT_WORDS, kept_bytes: int = KEPT_BYTES) -> None:
         import numpy as np
 
-        from medweave.llm.tokens import library
-
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        self.library, self.kept_words, self.kept_bytes = library(path), kept_words, kept_bytes
+        self.path, self.kept_words, self.kept_bytes = path, kept_words, kept_bytes
         vocab = model["model"]["vocab"]
         byte_of = {c: b for b, c in enumerate(byte_letters())}
-        self.pieces = {i: bytes(byte_of[c] for c in piece) for piece, i in vocab.items()}
         self.added = {t["content"]: t["id"] for t in model["added_tokens"]}
-        self.pieces |= {i: s.encode() for s, i in self.added.items()}
+        pieces = {i: bytes(byte_of[c] for c in piece) for piece, i in vocab.items()} | {i: s.encode() for s, i in self.added.items()}
+        self.pieces = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
-        self.ranks = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(pairs)}
+        self.ranks = {vocab[a] << 20 | vocab[b]: r for r, (a, b) in enumerate(pairs)}
         self.made = [vocab[a + b] for a, b in pairs]
         self.byte_ids = [vocab[c] for c in byte_letters()]
         self.words = word_pattern()
-        keys = np.array([a << 20 | b for a, b in self.ranks], np.int64)
+        keys = np.array(list(self.ranks), np.int64)
         order = np.argsort(keys)
         self.keys, self.key_ranks, self.made_ids = keys[order], order.astype(np.int64), np.array(self.made, np.int32)
-        self.first = np.array([[self.ranks.get((a, b), NO_RANK) for b in self.byte_ids] for a in self.byte_ids], np.int64)
+        self.first = np.array([[self.ranks.get(a << 20 | b, NO_RANK) for b in self.byte_ids] for a in self.byte_ids], np.int64)
         self.known: dict[str, bytes] = {}
         self.known_bytes = 0
 
     def pre_tokens(self, text: str) -> list[str]:
         if text.isascii() or not re.search("[^\0-ɏ]", text):
             return self.words.findall(text)
-        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        from medweave.llm.tokens import library
+
+        return [text[a:b] for _, (a, b) in library(self.path).pre_tokenizer.pre_tokenize_str(text)]
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, as 32-bit integers of this machine."""
@@ -84,7 +85,7 @@ class Bpe:
         for text in texts:
             run.append(text or "")
             size += len(run[-1])
-            if size >= RUN_BYTES:
+            if size >= RUN_CHARS:
                 yield from self._run(run)
                 run, size = [], 0
         yield from self._run(run)
@@ -193,7 +194,7 @@ class Bpe:
         none = NO_RANK * width
         tree = [none] * (2 * width)
         for i in range(n - 1):
-            r = ranks.get((ids[i], ids[i + 1]))
+            r = ranks.get(ids[i] << 20 | ids[i + 1])
             if r is not None:
                 tree[width + i] = r * width + i
         for node in range(width - 1, 0, -1):
@@ -201,7 +202,7 @@ class Bpe:
 
         def put(i: int, j: int) -> None:
             """The leaf of place ``i``, whose right neighbour is ``j`` (``n`` or beyond: none), and its path."""
-            r = ranks.get((ids[i], ids[j])) if j < n else None
+            r = ranks.get(ids[i] << 20 | ids[j]) if j < n else None
             node, value = width + i, none if r is None else r * width + i
             while node and tree[node] != value:
                 tree[node] = value
@@ -223,7 +224,8 @@ class Bpe:
         return [i for i in ids if i >= 0]
 
     def decode(self, ids: Iterable[int]) -> str:
-        return b"".join([self.pieces.get(i, b"") for i in ids]).decode(errors="replace")
+        pieces = self.pieces
+        return b"".join([pieces[i] for i in ids if 0 <= i < len(pieces)]).decode(errors="replace")
 
 
 def byte_letters() -> str:
@@ -239,21 +241,34 @@ def bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """``doc_id`` and ``ids`` of the whole ``text`` of every row of ``docs``."""
+def encode_documents(docs: DataFrame, tokenizer: str, decoded: bool = False) -> DataFrame:
+    """``doc_id`` and ``ids`` of the whole ``text`` of every row of ``docs``; with ``decoded`` also the ``text`` that the ids stand for."""
 
     def encode(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         own = bpe(tokenizer)
-        for batch in batches:
-            packed = list(own.encode(batch.column("text").to_pylist()))
+
+        def made(doc_ids, packed):
             ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
+            flat = np.frombuffer(b"".join(packed), np.int32)
+            columns = [doc_ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            if decoded:
+                columns.append(pa.array((own.decode(np.frombuffer(p, np.int32).tolist()) for p in packed), pa.string(), size=len(packed)))
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][: len(columns)])
+
+        for batch in batches:
+            doc_ids, packed, size, done = batch.column("doc_id"), [], 0, 0
+            for ids in own.encode(t.as_py() for t in batch.column("text")):
+                packed.append(ids)
+                size += len(ids)
+                if size >= OUT_BYTES:
+                    yield made(doc_ids.slice(done, len(packed)), packed)
+                    packed, size, done = [], 0, done + len(packed)
+            yield made(doc_ids.slice(done), packed)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, ENCODED)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, DECODED if decoded else ENCODED)
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -275,7 +290,7 @@ def op13(spark, folder):
     from public_tokenizers import path
 
     tokenizer = path("byte_bpe_50k.json")
-    back = decode_documents(encode_documents(table(spark, folder, "documents"), tokenizer), tokenizer)
+    back = encode_documents(table(spark, folder, "documents"), tokenizer, decoded=True)
     return back.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"),

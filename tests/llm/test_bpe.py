@@ -61,6 +61,8 @@ def test_odd(spark, odd, none):
     back = decode_documents(encode_documents(odd, BYTE), BYTE).collect()
     want = sorted((repr(r.doc_id), plain(r.text), r.text or "") for r in odd.collect())
     assert sorted((repr(r.doc_id), r.ids, r.text) for r in back) == want
+    once = encode_documents(odd, BYTE, decoded=True).collect()
+    assert sorted((repr(r.doc_id), r.ids, r.text) for r in once) == want
     assert encode_documents(none, BYTE).count() == 0 and decode_documents(encode_documents(none, BYTE), BYTE).count() == 0
     nothing = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
     assert decode_documents(nothing, BYTE).first().text == ""
