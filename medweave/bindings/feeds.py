@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 from medweave.bindings.common import ORACLE, Tables, query
 from medweave.bindings.vocab import DOMAINS
 from medweave.functions.vocabulary import DESTINATION
+from medweave.operators.keys import key_report
 from medweave.plans import claims as C
-from medweave.schemas import OUTPUT_TABLES
+from medweave.schemas import CDM_TABLES, OUTPUT_TABLES, cdm_rules, cdm_schema
 from medweave.session import settle
 
 _DOMAIN_ROWS = ", ".join(f"({i}, '{d}')" for i, d in enumerate(DOMAINS))
@@ -214,10 +215,14 @@ def _by_feed(inpatient, outpatient, carrier) -> str:
     return f"CASE feed WHEN 'inpatient' THEN {inpatient} WHEN 'outpatient' THEN {outpatient} ELSE {carrier} END"
 
 
+FILLED: dict[str, list[str]] = {}
+
+
 def _table(name: str, columns: str, sql: str, key: str | None = None) -> None:
     """Register an output table with the columns that can be filled; concept ids are long."""
     wide = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in columns.split() if c.endswith("_concept_id"))
     sql = f"SELECT * REPLACE ({wide}) FROM ({sql})" if wide else sql
+    FILLED[name] = columns.split()
 
     @query(key or f"cdm_{name}", sql)
     def run(t, name=name, columns=columns):
@@ -370,6 +375,43 @@ def cdm_condition_era(t):
     return condition_era(flow(t).tables["condition_occurrence"])
 
 
+_VOCABULARY = {"concept": ["concept_id", "domain_id", "vocabulary_id", "concept_code"], "concept_relationship": ["concept_id_1", "concept_id_2", "relationship_id", "invalid_reason"]}
+
+
+def _key_report_sql() -> str:
+    """Every rule by itself: counts of a key's rows, values that are not in the parent, missing values."""
+    filled = FILLED | _VOCABULARY
+    feeds = {"concept": "concept", "concept_relationship": "relationship"}
+    sources = ",\n".join(
+        f"t_{n} AS MATERIALIZED ({f'{PRELUDE} SELECT * FROM {feeds[n]}' if n in feeds else ORACLE[f'cdm_{n}']})" for n in filled if n in feeds or f"cdm_{n}" in ORACLE
+    )
+    parts = []
+    for table, rules in cdm_rules().items():
+        has = filled.get(table, [])
+        row = lambda kind, columns, parent, counts: parts.append(
+            f"SELECT '{table}' AS \"table\", '{kind}' AS rule, '{','.join(columns)}' AS columns, {parent} AS parent, {counts}"  # noqa: B023
+        )
+        if rules.key:
+            whole = ", ".join(rules.key)
+            missing = " OR ".join(f"{c} IS NULL" for c in rules.key)
+            row("primary key", rules.key, "NULL", f"CAST(coalesce(sum(n), 0) AS BIGINT) AS rows, count(*) AS keys FROM (SELECT {whole}, count(*) AS n FROM t_{table} GROUP BY ALL HAVING count(*) > 1 OR {missing})" if has else "0 AS rows, 0 AS keys")
+        for column, (parent, key) in rules.references.items():
+            held = f"AND {column} NOT IN (SELECT {key} FROM t_{parent} WHERE {key} IS NOT NULL)" if key in filled.get(parent, []) else ""
+            row("foreign key", [column], f"'{parent}'", f"count(*) AS rows, count(DISTINCT {column}) AS keys FROM t_{table} WHERE {column} IS NOT NULL {held}" if column in has else "0 AS rows, 0 AS keys")
+        for column in rules.required:
+            row("not null", [column], "NULL", f"count(*) AS rows, 0 AS keys FROM t_{table} {f'WHERE {column} IS NULL' if column in has else ''}" if has else "0 AS rows, 0 AS keys")
+    return f"WITH {sources} " + " UNION ALL ".join(parts)
+
+
+@query("cdm_key_report", _key_report_sql())
+def cdm_key_report(t):
+    """All keys, references and NOT NULL columns of the converted database with its vocabulary; tables that nothing fills are empty."""
+    given = {"concept": feed(t, "concept"), "concept_relationship": feed(t, "relationship")}
+    made = flow(t).tables | {n: df.select(*_VOCABULARY[n]) for n, df in given.items()}
+    tables = {n: made[n] if n in made else t.spark.createDataFrame([], cdm_schema(n)) for n in CDM_TABLES}
+    return key_report(tables, cdm_rules())
+
+
 _COUNTS = " UNION ALL ".join(
     f"SELECT '{n}' AS table_name, count(*) AS n FROM ({ORACLE[f'cdm_{n}']})" if f"cdm_{n}" in ORACLE else f"SELECT '{n}', 0" for n in OUTPUT_TABLES
 )
