@@ -44,6 +44,30 @@ def assign_ids(
     return numbered.withColumn(id_col, F.col("_offset") + F.col("_place")).select(id_col, *df.columns)
 
 
+def assign_ids_by(df: DataFrame, group: str, id_col: str, order: Sequence[str | Column], bases: dict[str, int]) -> DataFrame:
+    """Number the rows of every ``group`` on their own in ``order``, from the group's base on, all from one sorted copy.
+
+    The rows are range-partitioned once by the order all groups share and sorted by group and order inside each range.
+    A row's place in its range, less the first place of its group there, plus the group's rows in the ranges before is its
+    number: a matrix of counts per (range, group) summed along the ranges, as small as tasks times groups. Each group
+    becomes a folder of the copy. Rows of groups without a base are left out.
+    """
+    spark = df.sparkSession
+    placed = df.where(F.col(group).isin(*bases)).repartitionByRange(*order).sortWithinPartitions(group, *order)
+    placed = settle(
+        placed.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS))), group
+    )
+    sizes = placed.groupBy("_part", group).agg(F.count(F.lit(1)).alias("_size"), F.min("_place").alias("_first")).orderBy("_part").collect()
+    following, offsets = dict(bases), []
+    for r in sizes:
+        offsets.append((r["_part"], r[group], following[r[group]] - r["_first"]))
+        following[r[group]] += r["_size"]
+    # one row per task and group
+    matrix = spark.createDataFrame(offsets, f"_part int, {group} string, _offset long")
+    numbered = placed.join(F.broadcast(matrix), ["_part", group])
+    return numbered.withColumn(id_col, F.col("_offset") + F.col("_place")).select(id_col, *df.columns)
+
+
 def new_keys(fact: DataFrame, dim: DataFrame, natural_key: list[str]) -> DataFrame:
     """Natural keys of ``fact`` that ``dim`` does not hold yet."""
     wanted = fact.select(*natural_key).na.drop("any").distinct()

@@ -343,42 +343,64 @@ def _common(prefix: str) -> list[Column | str]:
     ]
 
 
-def _numbered(facts: DataFrame, destination: str, id_col: str, base: int) -> DataFrame:
-    return ids.assign_ids(vocab.fact_targets(facts, destination), id_col, FACT_ORDER, base)
+#: Where a code's target goes, with the counter its rows are numbered by.
+DESTINATIONS = {
+    "condition": "condition_occurrence", "device": "device_exposure", "drug": "drug_exposure",
+    "measurement": "measurement", "observation": "observation", "procedure": "procedure_occurrence",
+}
+
+
+def number_facts(facts: DataFrame, rx: DataFrame, at: dict[str, int]) -> dict[str, DataFrame]:
+    """The rows of all fact tables with their ids, each table numbered by person, claim and code from one sorted copy.
+
+    Prescriptions (whatever their destination) come before the drugs named in claims, per person; they carry ``rx_id``
+    for the costs, as all rows carry ``row_id`` and ``feed``. :func:`to_cdm` drops what a table does not have.
+    """
+    bought = rx.where(F.col("target_id").isNotNull()).select(
+        F.lit("drug").alias("destination"), "person_id", F.lit(0).alias("feed_rank"), F.col("PDE_ID").alias("claim_id"), F.lit("").alias("segment"),
+        F.col("SRVC_DT").alias("from_dt"), F.lit("").alias("thru_dt"), "row_id", F.lit(0).alias("code_order"), "target_order",
+        "code", "source_id", "target_id", F.col("QTY_DSPNSD_NUM").try_cast("decimal(18,4)").alias("quantity"),
+        F.col("DAYS_SUPLY_NUM").try_cast("long").alias("days_supply"), F.col("row_id").alias("rx_id"),
+    )
+    named = vocab.fact_targets(facts).select(
+        "destination", *FACT_ORDER, "feed", "code", "source_id", "target_id", "provider_id", "visit_occurrence_id"
+    )
+    numbered = ids.assign_ids_by(union_facts([bought, named]), "destination", "fact_id", FACT_ORDER, {d: at[c] for d, c in DESTINATIONS.items()})
+    return {d: numbered.where(F.col("destination") == d).withColumnRenamed("fact_id", f"{c}_id") for d, c in DESTINATIONS.items()}
 
 
-def build_condition_occurrence(facts: DataFrame, base: int) -> DataFrame:
-    return _numbered(facts, "condition", "condition_occurrence_id", base).select(
+def build_condition_occurrence(numbered: DataFrame) -> DataFrame:
+    return numbered.select(
         "condition_occurrence_id", *_common("condition"),
         fc.parse_ymd(F.col("from_dt")).alias("condition_start_date"), fc.parse_ymd(F.col("thru_dt")).alias("condition_end_date"),
         fc.type_concepts(F.col("feed"), "condition_type_concept_id").alias("condition_type_concept_id"),
     )
 
 
-def build_procedure_occurrence(facts: DataFrame, base: int) -> DataFrame:
+def build_procedure_occurrence(numbered: DataFrame) -> DataFrame:
     """Also carries ``row_id`` and ``feed`` for the costs; :func:`to_cdm` drops them."""
-    return _numbered(facts, "procedure", "procedure_occurrence_id", base).select(
+    return numbered.select(
         "procedure_occurrence_id", *_common("procedure"), fc.parse_ymd(F.col("from_dt")).alias("procedure_date"),
         fc.type_concepts(F.col("feed"), "procedure_type_concept_id").alias("procedure_type_concept_id"), "row_id", "feed",
     )
 
 
-def build_measurement_occurrence(facts: DataFrame, base: int) -> DataFrame:
-    return _numbered(facts, "measurement", "measurement_id", base).select(
+def build_measurement_occurrence(numbered: DataFrame) -> DataFrame:
+    return numbered.select(
         "measurement_id", *_common("measurement"), fc.parse_ymd(F.col("from_dt")).alias("measurement_date"),
         F.lit(fc.MEASUREMENT_TYPE).alias("measurement_type_concept_id"), F.lit(0).alias("value_as_concept_id"),
     )
 
 
-def build_observation(facts: DataFrame, base: int) -> DataFrame:
-    return _numbered(facts, "observation", "observation_id", base).select(
+def build_observation(numbered: DataFrame) -> DataFrame:
+    return numbered.select(
         "observation_id", *_common("observation"), fc.parse_ymd(F.col("from_dt")).alias("observation_date"),
         F.lit(fc.OBSERVATION_TYPE).alias("observation_type_concept_id"), F.lit(0).alias("value_as_concept_id"),
     )
 
 
-def build_device_exposure(facts: DataFrame, base: int) -> DataFrame:
-    return _numbered(facts, "device", "device_exposure_id", base).select(
+def build_device_exposure(numbered: DataFrame) -> DataFrame:
+    return numbered.select(
         "device_exposure_id", *_common("device"),
         fc.parse_ymd(F.col("from_dt")).alias("device_exposure_start_date"), fc.parse_ymd(F.col("thru_dt")).alias("device_exposure_end_date"),
         F.lit(fc.DEVICE_TYPE).alias("device_type_concept_id"),
@@ -425,19 +447,9 @@ def prescription_codes(prescriptions: DataFrame, mapping: DataFrame) -> DataFram
     return settle(found)
 
 
-def build_drug_exposure(rx: DataFrame, facts: DataFrame, base: int) -> DataFrame:
-    """Prescriptions (whatever their destination) before the drugs named in claims, per person.
-
-    Carries ``rx_id`` for the costs; :func:`to_cdm` drops it.
-    """
-    written = rx.where(F.col("target_id").isNotNull()).select(
-        "person_id", F.lit(0).alias("feed_rank"), F.col("PDE_ID").alias("claim_id"), F.lit("").alias("segment"),
-        F.col("SRVC_DT").alias("from_dt"), F.lit("").alias("thru_dt"), "row_id", F.lit(0).alias("code_order"), "target_order",
-        "code", "source_id", "target_id", F.col("QTY_DSPNSD_NUM").try_cast("decimal(18,4)").alias("quantity"),
-        F.col("DAYS_SUPLY_NUM").try_cast("long").alias("days_supply"), F.col("row_id").alias("rx_id"),
-    )
-    named = vocab.fact_targets(facts, "drug").select(*FACT_ORDER, "code", "source_id", "target_id", "provider_id", "visit_occurrence_id")
-    return ids.assign_ids(union_facts([written, named]), "drug_exposure_id", FACT_ORDER, base).select(
+def build_drug_exposure(numbered: DataFrame) -> DataFrame:
+    """Carries ``rx_id`` for the costs; :func:`to_cdm` drops it."""
+    return numbered.select(
         "drug_exposure_id", *_common("drug"), fc.parse_ymd(F.col("from_dt")).alias("drug_exposure_start_date"),
         F.lit(fc.DRUG_TYPE).alias("drug_type_concept_id"), "quantity", "days_supply", "rx_id",
     )
@@ -577,27 +589,21 @@ def claims_to_cdm(given: ClaimsInput, carried: Carried | None = None) -> ClaimsO
     (care_site, provider), visits, rx = found["places"], found["visits"], found["rx"]
     facts = build_facts(claims, resolve_claims(claims, visits, care_site, provider), mapping)
 
-    def procedures() -> tuple[DataFrame, DataFrame]:
-        done = build_procedure_occurrence(facts, at["procedure_occurrence"])
-        return done, build_procedure_cost(done, claims, at["procedure_cost"])
-
-    def drugs() -> tuple[DataFrame, DataFrame]:
-        done = build_drug_exposure(rx, facts, at["drug_exposure"])
-        return done, build_drug_cost(scripts, done, at["drug_cost"])
-
-    written = together(
+    numbered = number_facts(facts, rx, at)
+    procedures, drugs = build_procedure_occurrence(numbered["procedure"]), build_drug_exposure(numbered["drug"])
+    costs = together(
         spark,
-        procedures=procedures,
-        drugs=drugs,
-        observation=lambda: build_observation(facts, at["observation"]),
-        condition_occurrence=lambda: build_condition_occurrence(facts, at["condition_occurrence"]),
-        device_exposure=lambda: build_device_exposure(facts, at["device_exposure"]),
-        measurement_occurrence=lambda: build_measurement_occurrence(facts, at["measurement"]),
+        procedure_cost=lambda: build_procedure_cost(procedures, claims, at["procedure_cost"]),
+        drug_cost=lambda: build_drug_cost(scripts, drugs, at["drug_cost"]),
     )
     built = {
-        **{k: v for k, v in written.items() if k not in ("procedures", "drugs")},
-        **dict(zip(("procedure_occurrence", "procedure_cost"), written["procedures"])),
-        **dict(zip(("drug_exposure", "drug_cost"), written["drugs"])),
+        **costs,
+        "procedure_occurrence": procedures,
+        "drug_exposure": drugs,
+        "condition_occurrence": build_condition_occurrence(numbered["condition"]),
+        "device_exposure": build_device_exposure(numbered["device"]),
+        "measurement_occurrence": build_measurement_occurrence(numbered["measurement"]),
+        "observation": build_observation(numbered["observation"]),
         "person": found["person"],
         "observation_period": found["observation_period"],
         "death": build_death(people),

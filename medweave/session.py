@@ -52,16 +52,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: the lineage ends here.
 
+    With ``by``, a folder per value of that column, so that readers of one value open no other's files.
+
     The copy survives the loss of executors, values that depend on the partition a row landed in
     stay what they were, and later readers take only the columns and row groups they need.
     """
     spark = df.sparkSession
     path = new_folder(spark, "settled")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def together(spark: SparkSession, **jobs: Callable[[], Any]) -> dict[str, Any]:

@@ -209,3 +209,24 @@ def test_coverage_window(spark, months, want):
 def test_locations(spark, state, county, want):
     s, c = F.lit(state), F.lit(county)
     assert tuple(spark.range(1).select(fc.ssa_state(s), fc.location_key(s, c), fc.county_code(s, c)).first()) == want
+
+
+def test_ids_of_many_groups_from_one_sort(spark):
+    """Each group is numbered by itself; one range shuffle for all, whatever share a group has."""
+    from medweave.operators.ids import assign_ids_by
+
+    df = spark.range(0, 20_000, 1, 13).selectExpr(
+        "id % 997 AS a", "id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 101 = 0 THEN 'rare' WHEN id % 7 = 1 THEN NULL WHEN id % 7 = 2 THEN 'none' ELSE 'x' END AS kind"
+    )
+    bases = {"hot": 1, "rare": 100, "x": 7, "absent": 3}
+    out = assign_ids_by(df, "kind", "number", ["a", "id"], bases)
+    rows = sorted((r.kind, r.a, r.id, r.number) for r in out.collect())
+    at, want = dict(bases), []
+    for r in sorted(df.collect(), key=lambda r: (r.a, r.id)):
+        if r.kind in at:
+            want.append((r.kind, r.a, r.id, at[r.kind]))
+            at[r.kind] += 1
+    assert rows == sorted(want)
+    assert out.columns == ["number", "a", "id", "kind"]
+    one = out.where("kind = 'rare'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(kind" in one and "Exchange range" not in one
