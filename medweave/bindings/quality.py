@@ -146,7 +146,28 @@ _BAD = """bad AS (SELECT f AS file, level, line FROM (SELECT 'orders.csv' AS f,
         UNION ALL SELECT file, level, 'header column appears more than once', 1, 2, 1, 'k' FROM (VALUES ('orders.csv', 'error'), ('orders.txt', 'warning')) v(file, level)""",
 )
 def check_delimited(t):
-    return _file_name(checks.check_delimited(t.spark, _messy(t)))
+    return _file_name(checks.check_delimited(t.spark, _messy(t), max_errors=10))
+
+
+def _quoted(t):
+    """Orders with a note over up to three lines in quotes, delimiters and doubled quotes in it; the low-priority ones a field too long."""
+    path = new_folder(t.spark, "quoted")
+    note = F.concat(F.lit('"'), "o_orderpriority", F.repeat(F.lit('\n, ""x""'), (F.col("o_orderkey") % 3).cast("int")), F.lit('"'))
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), note, "o_orderstatus", F.when(F.col("o_orderpriority") == "5-LOW", F.lit("more")))
+    head = t.spark.createDataFrame([('"order\nkey",note,status', -1)], "value string, k long")
+    lines = line.alias("value")
+    t.orders.select(lines, F.col("o_orderkey").alias("k")).unionByName(head).orderBy("k").select("value").coalesce(1).write.text(f"{path}/orders.txt")
+    return path
+
+
+@query(
+    "check_delimited_quoted",
+    """SELECT 'orders.txt' AS file, 'warning' AS level, 'wrong number of fields' AS issue, 3 + before AS line, 4 AS found, 3 AS expected, CAST(NULL AS VARCHAR) AS detail FROM (
+         SELECT o_orderpriority, CAST(coalesce(sum(1 + o_orderkey % 3) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM orders)
+       WHERE o_orderpriority = '5-LOW'""",
+)
+def check_delimited_quoted(t):
+    return _file_name(checks.check_delimited(t.spark, _quoted(t)))
 
 
 @query("check_folder", "SELECT 'warning' AS level, 'file is empty' AS issue, count(DISTINCT o_orderstatus) AS n FROM orders")

@@ -2,6 +2,8 @@
 
 import gzip
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType
@@ -145,7 +147,7 @@ def test_delimited_checks(spark, tmp_path):
     put(data, "table.txt", "a,b\n1\n")
     put(data, "latin.csv", b"a,b\n\xe9,1\n")
     wrong = "wrong number of fields"
-    assert sorted(issues(checks.check_delimited(spark, str(data))), key=repr) == sorted([
+    assert sorted(issues(checks.check_delimited(spark, str(data), max_errors=10)), key=repr) == sorted([
         ("head.csv", "error", "header column has no name", 1, 2), ("head.csv", "error", "header column appears more than once", 1, 2),
         *[("rows.csv", "error", wrong, n, 1) for n in range(2, 12)], ("rows.csv", "error", f"more lines with the {wrong}", None, 2),
         ("only.csv", "warning", "header only", None, None), ("table.txt", "warning", wrong, 2, 1), ("latin.csv", "warning", "not valid UTF-8", None, None),
@@ -158,6 +160,71 @@ def test_row_limit_of_delimited_checks(spark, tmp_path):
     assert checks.check_delimited(spark, str(tmp_path / "data"), max_rows=6).count() == 1
 
 
+def brute_records(text):
+    """(first line, fields) of every record of ``text``, by RFC 4180 quoting, character by character."""
+    out, fields, line, start, inside, any_char = [], 1, 1, 1, False, False
+    for c in text:
+        inside ^= c == '"'
+        if c == "\n":
+            line += 1
+        if c == "\n" and not inside:
+            out.append((start, fields, any_char))
+            fields, start, any_char = 1, line, False
+        else:
+            fields += c == "," and not inside
+            any_char = True
+    if any_char:
+        out.append((start, fields, True))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_quoted_records_over_many_splits(spark, tmp_path, seed):
+    """Fields with delimiters, doubled quotes and many line ends, cut into splits anywhere."""
+    rng, want = random.Random(seed), []
+    for name in ("one.csv", "two.CSV", "three.csv"):
+        rows = ["id,\"na\nme, of\",x"]
+        for i in range(rng.choice([0, 200, 700])):
+            field = "".join(rng.choice(["a", ",", "\n", '""', " ", "b" * 30, "\n" * 20]) for _ in range(rng.randrange(0, 9)))
+            rows.append(f'{i},"{field}"' + ",z" * rng.choice([1, 1, 1, 0, 2]))
+        text = "\n".join(rows) + "\n" * rng.randrange(2) + ('7,"open\n\n' if name == "three.csv" else "")
+        put(tmp_path / "data", name, text)
+        found = brute_records(text)
+        want += [(name, start, fields) for start, fields, full in found if full]
+        unclosed = text.count('"') % 2
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("6000", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = checks.records(spark, str(tmp_path / "data")).where("NOT blank").collect()
+            assert sorted((r.file.rsplit("/", 1)[1], r.line, r.counts[0] + 1) for r in got) == sorted(want)
+            assert {r.text for r in got if r.line == 1} == {'id,"na\nme, of",x'}
+            assert sum(r.open for r in got) == unclosed
+            issues_ = issues(checks.check_delimited(spark, str(tmp_path / "data")))
+            wrong = [(f, "error", "wrong number of fields", line, n) for f, line, n in want if line > 1 and n != 3]
+            last = max(line for f, line, _ in want if f == "three.csv")
+            assert sorted(x for x in issues_ if x[2].startswith("wrong")) == sorted(w for w in wrong if w[0] != "three.csv" or w[3] != last)
+            assert [x[:4] for x in issues_ if x[2] == "quoted field is not closed"] == [("three.csv", "error", "quoted field is not closed", last)]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_files_without_a_header(spark, tmp_path):
+    put(tmp_path / "data", "blank.csv", "\na,b\n1\n")
+    put(tmp_path / "data", "open.csv", 'a,"b\n1,2\n')
+    put(tmp_path / "data", "other.dat", "1\n")
+    assert sorted(issues(checks.check_delimited(spark, str(tmp_path / "data")))) == [
+        ("blank.csv", "error", "has no header row", 1, None), ("open.csv", "error", "quoted field is not closed", 1, None), ("open.csv", "warning", "header only", None, None),
+    ]
+
+
+def test_checks_read_a_folder_twice(spark, tmp_path):
+    put(tmp_path / "data", "f.csv", "a,b\n1\n")
+    plan = checks.records(spark, str(tmp_path / "data"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 2 and "SinglePartition" not in plan
+    assert "FileScan text" not in checks.check_delimited(spark, str(tmp_path / "data"))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_line_numbers_over_several_splits(spark, tmp_path):
     put(tmp_path / "data", "f.csv", "".join(f"{i},{'x' * 50}\n" for i in range(1, 40_001)))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
