@@ -13,7 +13,7 @@ from medweave.bindings.common import day, query
 from medweave.operators import combine, ids, skew
 from medweave.plans import claims as C
 from medweave.session import new_folder
-from medweave.sources import files, tables
+from medweave.sources import files, publish, tables
 from medweave.streaming.incremental import copy_new_files
 
 # --- ids and dimensions ---------------------------------------------------------------------------------------
@@ -238,14 +238,14 @@ def publish_no_clobber(t):
     """Files are moved once; a second output with the same names is refused as a whole."""
     staged, again, out = (new_folder(t.spark, n) for n in ("staged", "again", "out"))
     t.orders.select("o_orderkey").write.parquet(f"{staged}/data")
-    tables.publish_no_clobber(t.spark, staged, out)
+    publish.publish_no_clobber(t.spark, staged, out)
     name = files.list_files(t.spark, f"{out}/data").first()["name"]
     path = t.spark._jvm.org.apache.hadoop.fs.Path
     fs = path(out).getFileSystem(t.spark._jsc.hadoopConfiguration())
     t.orders.select("o_orderkey").write.parquet(f"{again}/data")
     fs.rename(path(files.list_files(t.spark, f"{again}/data").first()["path"]), path(f"{again}/data/{name}"))
     try:
-        tables.publish_no_clobber(t.spark, again, out)
+        publish.publish_no_clobber(t.spark, again, out)
         raise AssertionError("a clash was not refused")
     except FileExistsError:
         pass

@@ -9,7 +9,7 @@ from pyspark.sql.types import DataType, DoubleType, StringType, StructField, Str
 
 from medweave import schemas as S
 from medweave.functions.claims import not_blank, parse_date
-from medweave.operators.combine import clashes, table_for_file
+from medweave.operators.combine import table_for_file
 from medweave.sources.files import list_files
 
 # The row that describes the converted source.
@@ -222,37 +222,3 @@ def to_csv_rfc4180(df: DataFrame, path: str) -> None:
 def to_json(df: DataFrame, path: str) -> None:
     """One JSON object per line, NULL fields kept."""
     df.drop("_rescued_data").write.option("ignoreNullFields", False).json(path)
-
-
-MAX_LISTED = 5
-
-
-def nonempty_output(spark: SparkSession, folder: str) -> bool:
-    """Whether a folder exists and holds a file with something in it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(path) and not list_files(spark, folder, True).where(F.col("size") > 0).isEmpty()
-
-
-def publish_no_clobber(spark: SparkSession, staged: str, out: str) -> int:
-    """Move all files from ``staged`` to ``out``, or none: refuse when nothing was written or a name is taken."""
-    if not nonempty_output(spark, staged):
-        raise ValueError(f"nothing was written for {out}")
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
-    new = list_files(spark, staged, True)
-    if fs.exists(path(out)):
-        taken = clashes(new, list_files(spark, out, True), "relative")
-        n = taken.count()
-        if n:
-            shown = ", ".join(r["relative"] for r in taken.orderBy("relative").limit(MAX_LISTED).collect())
-            more = f" and {n - MAX_LISTED} more" if n > MAX_LISTED else ""
-            raise FileExistsError(f"{n} file(s) already in {out}: {shown}{more}. Nothing was overwritten.")
-    moved = 0
-    for r in new.select("path", "relative").toLocalIterator():
-        target = path(f"{out.rstrip('/')}/{r['relative']}")
-        fs.mkdirs(target.getParent())
-        if not fs.rename(path(r["path"]), target):
-            raise OSError(f"could not move {r['path']}")
-        moved += 1
-    return moved

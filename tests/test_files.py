@@ -10,7 +10,7 @@ from pyspark.sql.types import DateType, LongType, StringType, StructField, Struc
 
 from medweave import schemas as S
 from medweave.operators import ordering, quality
-from medweave.sources import checks, files, tables
+from medweave.sources import checks, files, publish, tables
 from medweave.streaming.incremental import copy_new_files
 
 T = StructType([StructField("id", LongType()), StructField("name", StringType()), StructField("day", DateType())])
@@ -26,8 +26,8 @@ def database(spark, tmp_path):
 
 
 def put(folder, name, text):
-    folder.mkdir(exist_ok=True)
     path = folder / name
+    path.parent.mkdir(parents=True, exist_ok=True)
     path.write_bytes(text if isinstance(text, bytes) else text.encode())
     return str(path)
 
@@ -102,14 +102,14 @@ def test_publish_all_or_nothing(spark, tmp_path):
     put(staged, "a.csv", "1")
     (staged / "sub").mkdir()
     put(staged / "sub", "b.csv", "2")
-    assert tables.publish_no_clobber(spark, str(staged), str(out)) == 2
+    assert publish.publish_no_clobber(spark, str(staged), str(out)) == 2
     assert (out / "sub" / "b.csv").read_text() == "2"
     for i in range(7):
         put(out, f"c{i}.csv", "old")
         put(staged, f"c{i}.csv", "new")
     put(staged, "fresh.csv", "new")
     with pytest.raises(FileExistsError, match="7 file.*c0.csv.* and 2 more"):
-        tables.publish_no_clobber(spark, str(staged), str(out))
+        publish.publish_no_clobber(spark, str(staged), str(out))
     assert not (out / "fresh.csv").exists() and (out / "c0.csv").read_text() == "old"
 
 
@@ -117,7 +117,7 @@ def test_nothing_written_is_refused(spark, tmp_path):
     put(tmp_path / "staged", "a.csv", b"")
     for staged in ("staged", "missing"):
         with pytest.raises(ValueError, match="nothing was written"):
-            tables.publish_no_clobber(spark, str(tmp_path / staged), str(tmp_path / "out"))
+            publish.publish_no_clobber(spark, str(tmp_path / staged), str(tmp_path / "out"))
 
 
 def test_new_files_only(spark, tmp_path):
@@ -135,6 +135,76 @@ def issues(df):
     return sorted(((r["file"].rsplit("/", 1)[-1], r["level"], r["issue"], r["line"], r["found"]) for r in df.collect()), key=repr)
 
 
+def tree(folder):
+    return {str(p.relative_to(folder)): p.read_text() for p in folder.rglob("*") if p.is_file() and not p.name.startswith(".") and publish.PREFIX not in str(p)}
+
+
+def staged_files(folder, n=40):
+    for i in range(n):
+        put(folder, f"part-{i % 3}/f{i}.csv", f"row {i}\n" if i else "")
+
+
+def failing(monkeypatch, after, error):
+    """From the ``after``-th rename on, renames raise ``error`` (once for errors that the publish answers itself)."""
+    seen, whole = [], publish._Store.rename
+
+    def rename(self, source, target):
+        seen.append(source)
+        if len(seen) == after or len(seen) > after and not isinstance(error, Exception):
+            raise error
+        whole(self, source, target)
+
+    monkeypatch.setattr(publish._Store, "rename", rename)
+
+
+def test_a_failed_publish_leaves_nothing_behind(spark, tmp_path, monkeypatch):
+    staged, out = tmp_path / "staged", tmp_path / "out"
+    staged_files(staged)
+    put(out, "old.csv", "old\n")
+    before = tree(staged), tree(out)
+    failing(monkeypatch, 17, OSError("no space"))
+    with pytest.raises(OSError, match="no space"):
+        publish.publish_no_clobber(spark, str(staged), str(out))
+    assert (tree(staged), tree(out)) == before and publish.unfinished(spark, str(out)) == []
+    assert publish.publish_no_clobber(spark, str(staged), str(out)) == 40
+    assert tree(out) == before[0] | before[1] and tree(staged) == {}
+
+
+@pytest.mark.parametrize("forward", [True, False])
+def test_a_lost_driver(spark, tmp_path, monkeypatch, forward):
+    """Left in the middle, a publish is finished or taken back later, as often as it is asked for."""
+    staged, out = tmp_path / "staged", tmp_path / "out"
+    staged_files(staged)
+    before = tree(staged)
+    failing(monkeypatch, 12, KeyboardInterrupt())
+    with pytest.raises(KeyboardInterrupt):
+        publish.publish_no_clobber(spark, str(staged), str(out), threads=1)
+    monkeypatch.undo()
+    assert len(publish.unfinished(spark, str(out))) == 1 and 0 < len([n for n in tree(out) if n.startswith("part-")]) < 40
+    assert spark.read.text(str(out), recursiveFileLookup=True).count() < 40  # readers pass over the manifest
+    moved = publish.recover(spark, str(out), forward)
+    assert moved == (29 if forward else 11)
+    assert (tree(staged), tree(out)) == (({}, before) if forward else (before, {}))
+    assert publish.recover(spark, str(out), forward) == 0
+
+
+def test_a_name_taken_meanwhile(spark, tmp_path, monkeypatch):
+    staged, out = tmp_path / "staged", tmp_path / "out"
+    staged_files(staged)
+    before = tree(staged)
+    failing(monkeypatch, 5, KeyboardInterrupt())
+    with pytest.raises(KeyboardInterrupt):
+        publish.publish_no_clobber(spark, str(staged), str(out), threads=1)
+    monkeypatch.undo()
+    rest = next(n for n in tree(staged))
+    put(out, rest, "someone else's")
+    with pytest.raises(FileExistsError):
+        publish.recover(spark, str(out))
+    assert tree(out) == {rest: "someone else's"} and tree(staged) == before
+    (out / f"{publish.PREFIX}x" / publish.FILES).mkdir(parents=True)  # a manifest that was never whole
+    assert publish.recover(spark, str(out)) == 0 and publish.unfinished(spark, str(out)) == []
+
+
 def test_delimited_checks(spark, tmp_path):
     data = tmp_path / "data"
     put(data, "good.csv", "﻿a,b\n1,2\n\n3,\"x, y\"\n")
