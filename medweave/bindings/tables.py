@@ -14,7 +14,7 @@ from medweave.operators import combine, ids, skew
 from medweave.plans import claims as C
 from medweave.session import new_folder
 from medweave.sources import files, publish, tables
-from medweave.streaming.incremental import copy_new_files
+from medweave.streaming.incremental import copy_new_files, ledger, rejected_lines
 
 # --- ids and dimensions ---------------------------------------------------------------------------------------
 
@@ -331,6 +331,29 @@ def copy_new(t):
     return loaded.select(*_TARGET.fieldNames())
 
 
+@query(
+    "copy_new_files_apart",
+    """SELECT o_orderstatus, count(*) FILTER (WHERE o_orderpriority <> '5-LOW') AS loaded, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS rejected,
+         CAST(coalesce(sum(o_orderkey) FILTER (WHERE o_orderpriority = '5-LOW'), 0) AS BIGINT) AS rejected_keys FROM orders GROUP BY o_orderstatus""",
+)
+def copy_new_apart(t):
+    """Lines with a price that is no number are kept apart; a second checkpoint finds nothing left to load."""
+    folder, out, first, second = (new_folder(t.spark, n) for n in ("arriving", "loaded", "offsets", "offsets"))
+    price = F.when(F.col("o_orderpriority") == "5-LOW", F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string"))
+    for n, status in enumerate(("F", "O", "P")):
+        _orders(t).where(F.col("o_orderstatus") == status).drop("o_orderstatus").withColumn("o_totalprice", price).write.option("header", True).csv(f"{folder}/orders_{n}.csv")
+        copy_new_files(t.spark, folder, "orders.csv", _TARGET, out, first, on_error="apart")
+    copy_new_files(t.spark, folder, "orders.csv", _TARGET, out, second, on_error="apart")
+    status = F.element_at(F.array(F.lit("F"), F.lit("O"), F.lit("P")), F.regexp_extract("file", "orders_([0-9])", 1).cast("int") + 1)
+    files = ledger(t.spark, out).groupBy(status.alias("o_orderstatus")).agg(F.sum("loaded").alias("loaded"), F.sum("rejected").alias("rejected"))
+    lines = rejected_lines(t.spark, out, _TARGET).select(
+        F.element_at(F.array(F.lit("F"), F.lit("O"), F.lit("P")), F.regexp_extract("loaded_from", "orders_([0-9])", 1).cast("int") + 1).alias("o_orderstatus"),
+        F.split("fields", ",")[0].cast("long").alias("key"),
+    )
+    keys = lines.groupBy("o_orderstatus").agg(F.sum("key").alias("keys"))
+    return files.join(keys, "o_orderstatus", "left").select("o_orderstatus", "loaded", "rejected", F.coalesce("keys", F.lit(0).cast("long")).alias("rejected_keys"))
+
+
 @query("load_csv_to_table", "SELECT o_orderkey, CAST(NULL AS BIGINT) AS o_custkey, CAST(o_orderdate AS DATE) AS o_orderdate, o_totalprice, o_orderpriority FROM orders")
 def load_csv_to_table(t):
     """By name: columns in another order, one missing, one too many."""

@@ -11,7 +11,7 @@ from pyspark.sql.types import DateType, LongType, StringType, StructField, Struc
 from medweave import schemas as S
 from medweave.operators import ordering, quality
 from medweave.sources import checks, files, publish, tables
-from medweave.streaming.incremental import copy_new_files
+from medweave.streaming.incremental import copy_new_files, ledger, rejected_lines
 
 T = StructType([StructField("id", LongType()), StructField("name", StringType()), StructField("day", DateType())])
 
@@ -131,6 +131,65 @@ def test_new_files_only(spark, tmp_path):
     assert copy_new_files(spark, str(data), "person.csv", T, out, checkpoint).count() == 2
 
 
+def test_strict_incremental_load(spark, tmp_path):
+    """A bad value stops a batch and leaves nothing of it; once the file is mended the load goes on."""
+    data, out, checkpoint = tmp_path / "data", str(tmp_path / "out"), str(tmp_path / "offsets")
+    data.mkdir()
+    load = lambda at=checkpoint, **o: sorted((r.id, r.name) for r in copy_new_files(spark, str(data), "person.csv", T, out, at, **o).collect())
+    assert load() == [] and load() == []  # no file yet
+    put(data, "person.csv", "id,name,day\n1,a,20080101\n")
+    assert load() == [(1, "a")]
+    for text in ("2,b,2008-13-01\n", "x,b,\n", "2,b\n"):
+        put(data, "person_2.csv", f"id,name,day\n5,fine,\n{text}")
+        with pytest.raises(Exception, match="not a date|CAST_INVALID|MALFORMED|FAILED_READ"):
+            load()
+        assert [r.load_batch for r in ledger(spark, out).collect()] == [0]
+    put(data, "person_2.csv", "id,name,day\n2,b,\n")
+    assert load() == [(1, "a"), (2, "b")]
+
+
+def test_a_new_checkpoint_loads_nothing_twice(spark, tmp_path):
+    data, out = tmp_path / "data", str(tmp_path / "out")
+    load = lambda at, **o: sorted(r.id for r in copy_new_files(spark, str(data), "person.csv", T, out, str(tmp_path / at), **o).collect())
+    put(data, "person.csv", "id,name,day\n1,a,\n")
+    assert load("one") == [1]
+    put(data, "person_2.csv", "id,name,day\n2,b,\n")
+    assert load("two") == [1, 2]  # its batch 0 is not the other one's
+    put(data, "person_3.csv", "id,name,day\n3,c,\n")
+    assert load("one") == [1, 2, 3] and load("two", max_files=1) == [1, 2, 3]
+    assert sorted((r.file.rsplit("/", 1)[1], r.loaded) for r in ledger(spark, out).collect()) == [("person.csv", 1), ("person_2.csv", 1), ("person_3.csv", 1)]
+
+
+def test_a_batch_that_is_run_again(spark, tmp_path):
+    """Without its page of the ledger a batch does not count, and the repeated one replaces it."""
+    import shutil
+
+    data, out, checkpoint = tmp_path / "data", tmp_path / "out", tmp_path / "offsets"
+    put(data, "person.csv", "id,name,day\n1,a,\n2,b,\n")
+    assert copy_new_files(spark, str(data), "person.csv", T, str(out), str(checkpoint)).count() == 2
+    (checkpoint / "commits" / "0").unlink()
+    (checkpoint / "commits" / ".0.crc").unlink(missing_ok=True)
+    shutil.rmtree(out / "ledger")
+    from medweave.streaming.incremental import loaded_rows
+
+    assert loaded_rows(spark, str(out), T).count() == 0
+    assert copy_new_files(spark, str(data), "person.csv", T, str(out), str(checkpoint)).count() == 2
+    assert ledger(spark, str(out)).count() == 1
+
+
+def test_rejected_lines(spark, tmp_path):
+    data, out, checkpoint = tmp_path / "data", str(tmp_path / "out"), str(tmp_path / "offsets")
+    put(data, "person.csv", "id,name,day\n1,a,20080101\nx,b,2008-02-30\n3,c\n4,d,,9\n,,\n")
+    got = copy_new_files(spark, str(data), "person.csv", T, out, checkpoint, on_error="apart")
+    assert sorted((r.id or 0, r.name) for r in got.collect()) == [(0, None), (1, "a")]
+    assert sorted((r.fields, r.reason) for r in rejected_lines(spark, out, T).collect()) == [
+        ("3,c", "wrong number of fields"), ("4,d,,9", "wrong number of fields"), ("x,b,2008-02-30", "cannot read id, day"),
+    ]
+    assert [(r.loaded, r.rejected) for r in ledger(spark, out).collect()] == [(2, 3)]
+    with pytest.raises(ValueError):
+        copy_new_files(spark, str(data), "person.csv", T, out, checkpoint, on_error="skip")
+
+
 def issues(df):
     return sorted(((r["file"].rsplit("/", 1)[-1], r["level"], r["issue"], r["line"], r["found"]) for r in df.collect()), key=repr)
 
