@@ -44,18 +44,26 @@ def _in(t, name):
 _WITH = "WITH " + ", ".join(f"{n} AS ({s.format(**{x: x for x in _SOURCES})})" for n, s in INPUT_SQL.items())
 
 
-def _decision(holder: str, expires: str) -> str:
-    return f"""CASE WHEN access_tier = 'open_access' THEN 'granted' WHEN access_tier = 'unregistered' THEN 'flagged_for_review'
-      WHEN {holder} IS NOT NULL AND ({expires} IS NULL OR {expires} > {NOW}) THEN 'granted' ELSE 'denied' END"""
-
-
-def _basis(holder: str, expires: str) -> str:
-    b = fa.BASIS
-    return f"""CASE WHEN access_tier = 'open_access' THEN '{b['open']}' WHEN access_tier = 'unregistered' THEN '{b['unregistered']}'
-      WHEN {holder} IS NOT NULL AND ({expires} IS NULL OR {expires} > {NOW}) THEN '{b['valid']}' WHEN {holder} IS NOT NULL THEN '{b['expired']}' ELSE '{b['missing']}' END"""
-
-
-_D, _B = _decision("p.user_id", "p.expiration_ts"), _basis("p.user_id", "p.expiration_ts")
+# What follows from a dataset's tier, or for the other tiers from what the user holds. The texts are fixed values.
+_RULES = [
+    ("open_access", None, "granted", fa.BASIS["open"]),
+    ("unregistered", None, "flagged_for_review", fa.BASIS["unregistered"]),
+    (None, "nothing", "denied", fa.BASIS["missing"]),
+    (None, "lapsed", "denied", fa.BASIS["expired"]),
+    (None, "current", "granted", fa.BASIS["valid"]),
+]
+_WITH += ", rule(tier, holding, decision, basis) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in _RULES) + ")"
+
+
+def _ruled(column: str, holder: str, expires: str) -> str:
+    """The rule for a row, by its tier if there is one for it, else by its holding."""
+    has = f"CAST({holder} IS NOT NULL AS INTEGER)"
+    in_time = f"CAST(coalesce({expires}, {NOW} + 1) > {NOW} AS INTEGER)"
+    holding = f"['nothing', 'lapsed', 'current'][1 + {has} + {has} * {in_time}]"
+    return f"coalesce((SELECT {column} FROM rule WHERE tier = access_tier), (SELECT {column} FROM rule WHERE holding = {holding}))"
+
+
+_D, _B = _ruled("decision", "p.user_id", "p.expiration_ts"), _ruled("basis", "p.user_id", "p.expiration_ts")
 _VIEW = f"coalesce(role, '') AS role, coalesce(expiration_ts, 0) AS expiration_ts, {_D} AS decision, {_B} AS decision_basis"
 
 

@@ -56,7 +56,7 @@ def merge_intervals(
     if strict:
         if measures:
             raise ValueError("strict merging carries no measures")
-        return _merge_by_events(df, keys, start, end, gap, n)
+        return _merge_by_events(df, keys, start, end, gap, F.lit(1) if count is None else F.coalesce(count, F.lit(0)))
     if unique_starts:
         one = F.lit(1) if count is None else F.col(count)
         carried = [F.col(c).alias(name) for name, c in (measures or {}).items()]
@@ -131,26 +131,45 @@ def closing_days(events: DataFrame, keys: list[str], pad_days: int) -> DataFrame
 def nearest_end(spans: DataFrame, ends: DataFrame, keys: list[str], start: str, end: str = "end_day") -> DataFrame:
     """For each row of ``spans`` the first end on or after its start; rows without one are dropped.
 
-    Written as one sorted pass over both sides instead of a range join. ``spans`` should hold one
-    row per key and day.
+    Written as one sorted pass over both sides instead of a range join, from the last day to the first, so that
+    the frame only grows. ``spans`` should hold one row per key and day.
     """
     kept = [c for c in spans.columns if c not in keys]
     left = spans.select(*keys, F.col(start).alias("_at"), F.lit(0).alias("_side"), F.struct(*kept).alias("_row"), F.lit(None).cast("date").alias("_e"))
     right = ends.select(*keys, F.col(end).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.col(end).alias("_e"))
-    ahead = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
     found = left.unionByName(right).withColumn("_next", F.min("_e").over(ahead))
     return found.where((F.col("_side") == 0) & F.col("_next").isNotNull()).select(
         *keys, *[F.col("_row").getField(c).alias(c) for c in kept], F.col("_next").alias("era_end")
     )
 
 
-def _merge_by_events(df: DataFrame, keys: list[str], start: str, end: str, gap: int, n: Column) -> DataFrame:
-    ends = closing_days(era_events(df, keys, start, end, gap, n), keys, gap)
-    starts = df.groupBy(*keys, F.col(start).alias("_start")).agg(n.alias("_n"))
+def _merge_by_events(df: DataFrame, keys: list[str], start: str, end: str, gap: int, weight: Column) -> DataFrame:
+    """Eras from the days on which the number of open intervals passes zero, in one read, one shuffle and one sort.
+
+    Each row gives two events, its start and its padded end, counted per key and day before the shuffle. The days of a key
+    are then gone through once, from the last to the first: what is open before a day is the key's total less
+    what begins and ends from that day on, and the first close that a start can reach is the latest one seen.
+    """
+    none, one = F.lit(0).cast("long"), weight.cast("long")
+    event = lambda day, opens, closes: F.struct(day.alias("day"), opens.alias("opens"), closes.alias("closes"))
+    both = F.array(event(F.col(start), one, none), event(F.date_add(F.col(end), gap), none, one))
+    events = df.select(*keys, F.explode(both).alias("v"))
+    days = events.groupBy(*keys, F.col("v.day").alias("day")).agg(F.sum("v.opens").alias("opens"), F.sum("v.closes").alias("closes"))
+
+    days = days.withColumn("_back", -F.unix_date("day"))
+    net, back = F.col("opens") - F.col("closes"), Window.partitionBy(*keys).orderBy("_back")
+    everything = back.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.sum(net).over(everything) - F.sum(net).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    passes = ((F.col("_before") < 0) & (F.col("_before") + F.col("opens") >= 0)) | (
+        (F.col("_before") + F.col("opens") > 0) & (F.col("_before") + net <= 0)
+    )
+    closing = days.withColumn("_before", before).withColumn("_close", F.when(passes, F.date_sub("day", gap)))
+    # A start reaches closes that lie on its day or after it, so days at least ``gap`` further on.
+    reached = closing.withColumn("era_end", F.min("_close").over(back.rangeBetween(Window.unboundedPreceding, -gap)))
     return (
-        nearest_end(starts, ends, keys, "_start")
-        .groupBy(*keys, "era_end")
-        .agg(F.min("_start").alias("era_start"), F.sum("_n").cast("long").alias("n"))
+        reached.where((F.col("opens") > 0) & F.col("era_end").isNotNull())
+        .groupBy(*keys, "era_end").agg(F.min("day").alias("era_start"), F.sum("opens").alias("n"))
         .select(*keys, "era_start", "era_end", "n")
     )
 

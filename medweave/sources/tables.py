@@ -74,13 +74,14 @@ def create_tables(spark: SparkSession, database: str, tables: dict[str, StructTy
 
 
 def load_paths(folder: str, file: str) -> tuple[str, str]:
-    """Glob and regular expression for ``name.csv`` and ``name_<number>.csv``, never ``name_other.csv``."""
-    stem, dot, ext = file.partition(".")
-    ext = dot + ext
-    return (
-        f"{folder.rstrip('/')}/{stem}{{{ext},_[0-9]*{ext}}}",
-        f"/{re.escape(stem)}(_[0-9]+)?{re.escape(ext)}(/[^/]+)?$",
-    )
+    """What to list and which of the listed paths to take: ``file`` itself and its numbered parts, ``name_<digits>.csv``.
+
+    A part may be a file or a folder of files.
+    """
+    name, *extension = file.split(".", 1)
+    tail = "".join(f".{e}" for e in extension)
+    taken = "".join((re.escape(name), r"(?:_\d+)?", re.escape(tail)))
+    return f"{folder.rstrip('/')}/{name}*{tail}", rf"/{taken}(?:/[^/]+)?$"
 
 
 def _quoted(reader, quote: str | None):
@@ -95,8 +96,8 @@ def positional(
     """Fields by position as the columns of ``target`` (or the named ones, the rest NULL)."""
     glob, pattern = load_paths(folder, file)
     names = columns or target.fieldNames()
-    delimiter = delimiter if delimiter is not None else ("," if csv else "\t")
-    reader = spark.read.schema(S.text_schema(names)).option("sep", delimiter).option("header", header)
+    sep = delimiter or {True: ",", False: "\t"}[csv]
+    reader = spark.read.schema(S.text_schema(names)).options(sep=sep, header=header)
     raw = _quoted(reader, quote if csv else None).option("mode", "FAILFAST" if strict else "PERMISSIVE").csv(glob)
     raw = raw.where(F.col("_metadata.file_path").rlike(pattern))
     return raw.select(
@@ -137,11 +138,16 @@ def load_stage_file(
 
 
 def named(spark: SparkSession, path: str, target: StructType) -> DataFrame:
-    """A file with a header as the columns of ``target``; columns it lacks are NULL, others are dropped."""
+    """A file with a header as the columns of ``target``; columns it lacks are NULL, others are dropped.
+
+    A column of ``target`` is also found under the name that files give it (``schemas.HEADER_NAMES``).
+    """
     raw = spark.read.option("header", True).csv(path)
+    in_files = {own: given for names in S.HEADER_NAMES.values() for own, given in names.items()}
+    found = {f.name: n for f in target for n in (in_files.get(f.name), f.name) if n in raw.columns}
     return raw.select(
         *[
-            (convert(F.col(f"`{f.name}`"), f.dataType, False) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+            (convert(F.col(f"`{found[f.name]}`"), f.dataType, False) if f.name in found else F.lit(None).cast(f.dataType)).alias(f.name)
             for f in target
         ]
     )
@@ -197,7 +203,7 @@ def write_cdm_csv(tables: dict[str, DataFrame], folder: str, sample: str | int)
     """``<table>_<sample>.csv`` folders with the fixed header, NULL as an empty field."""
     for table in S.OUTPUT_TABLES:
         if table in tables:
-            df = tables[table].select(*S.cdm_schema(table).fieldNames())
+            df = tables[table].select(*S.cdm_schema(table).fieldNames()).toDF(*S.cdm_header(table))
             df.write.option("header", True).option("nullValue", "").option("quote", "").csv(f"{folder.rstrip('/')}/{table}_{sample}.csv")
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,25 +26,24 @@ def merged(spark, rows, **kw):
     return sorted((r["k"], (r["era_start"] - DAY0).days, (r["era_end"] - DAY0).days, r["n"]) for r in got)
 
 
-def by_events(rows, gap):
-    """The event-counting definition, one key at a time."""
+def by_balance(rows, gap):
+    """Day by day: how many intervals are open, and which days close an era because that number passes zero."""
     out = []
     for key in {r[0] for r in rows}:
         spans = [(a, b) for k, a, b in rows if k == key]
-        events = sorted([(a, -1) for a, _ in spans] + [(b + gap, 1) for _, b in spans])
-        opened = seen = 0
-        ends = []
-        for day, kind in events:
-            seen += 1
-            opened += kind == -1
-            if opened and 2 * opened == seen:
-                ends.append(day - gap)
-        groups = {}
+        closes, still_open = [], 0
+        for day in sorted({a for a, _ in spans} | {b + gap for _, b in spans}):
+            steps = [1] * sum(a == day for a, _ in spans) + [-1] * sum(b + gap == day for _, b in spans)
+            levels = list(accumulate(steps, initial=still_open))
+            if 0 in levels[1:]:
+                closes.append(day - gap)
+            still_open = levels[-1]
+        members = {}
         for a, _ in spans:
-            later = [x for x in ends if x >= a]
-            if later:
-                groups.setdefault(min(later), []).append(a)
-        out += [(key, min(starts), end, len(starts)) for end, starts in groups.items()]
+            end = min((c for c in closes if c >= a), default=None)
+            if end is not None:
+                members.setdefault(end, []).append(a)
+        out += [(key, min(starts), end, len(starts)) for end, starts in members.items()]
     return sorted(out)
 
 
@@ -63,7 +63,7 @@ def test_identical_starts_and_nesting(spark, strict):
 def test_both_forms_agree_on_clean_intervals(spark, seed):
     rng = random.Random(seed)
     rows = [(rng.choice("abcdef"), a, a + rng.choice([0, 1, 5, 40, 120])) for a in (rng.randrange(2000) for _ in range(400))]
-    want = by_events(rows, 30)
+    want = by_balance(rows, 30)
     assert merged(spark, rows) == want
     assert merged(spark, rows, strict=True) == want
 
@@ -72,7 +72,7 @@ def test_both_forms_agree_on_clean_intervals(spark, seed):
 def test_strict_follows_the_events_when_ends_precede_starts(spark, seed):
     rng = random.Random(seed)
     rows = [(rng.choice("abc"), a, a + rng.randrange(-50, 50)) for a in rng.sample(range(3000), 200)]
-    assert merged(spark, rows, strict=True) == by_events(rows, 30)
+    assert merged(spark, rows, strict=True) == by_balance(rows, 30)
 
 
 def test_hot_key_keeps_one_row_per_day(spark):
@@ -115,3 +115,12 @@ def test_drug_eras(spark):
     ]
     numbered = eras.number_eras(eras.drug_era(exposure, ancestor, concept), "drug_era_id", 5).orderBy("drug_era_id").collect()
     assert [r["drug_era_id"] for r in numbered] == [5, 6, 7, 8]
+
+
+def test_strict_merge_reads_and_shuffles_once(spark, tmp_path):
+    frame(spark, [("a", 0, 3), ("b", 5, 1)]).write.parquet(f"{tmp_path}/spans")
+    out = merge_intervals(spark.read.parquet(f"{tmp_path}/spans"), ["k"], "s", "e", strict=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    # one shuffle for the counts per key and day, one that deals those day rows out by key
+    assert plan.count("Exchange ") <= 2 and plan.count("Sort [") == 1
