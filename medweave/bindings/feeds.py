@@ -468,7 +468,7 @@ def carrier_line_rows(t):
 def claim_provider_site(t):
     people = C.yearly_records(feed(t, "beneficiary")).select(C.PERSON).distinct()
     rows = C.union_facts([C.claim_rows(k, feed(t, k)) for k in C.FEEDS])
-    return C.attach_claims(people, rows, salt_by=["claim_id"]).select("feed", "claim_id", "fact_npi", "fact_site")
+    return C.attach_claims(people, rows).select("feed", "claim_id", "fact_npi", "fact_site")
 
 
 @query(

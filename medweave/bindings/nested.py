@@ -160,7 +160,7 @@ def gold_join(t):
 def outer_join_on_null(t):
     left = t.orders.select(F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("k"), "o_orderstatus").distinct()
     right = t.customer.select(F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).alias("k"), "c_mktsegment")
-    return combine.join_tables(left, right, ["k"], "outer")
+    return combine.join_tables(left, right, ["k"], "outer", nulls_equal=True)
 
 
 @query("dedupe_mapping", f"SELECT count(*) AS n FROM ({_SAMPLES})")
@@ -168,3 +168,26 @@ def dedupe_mapping(t):
     """A column listed twice is extracted once."""
     twice = m.SAMPLE_FIELDS[:2] + m.SAMPLE_FIELDS[1:]
     return m.extract_samples(hits(t), twice).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _split_sides(t):
+    """Lines and orders by a key that a third of both share and that is missing in others; one row per value on either side."""
+    key = lambda c: F.when(F.col(c) % 3 == 0, F.lit(0)).when(F.col(c) % 11 != 1, F.col(c) % 200)
+    left = t.customer.where("c_custkey % 2 = 0").select(key("c_custkey").cast("long").alias("k"), F.col("c_nationkey").alias("v"))
+    right = t.supplier.where("s_suppkey % 3 <> 2").select(key("s_suppkey").cast("long").alias("k"), F.col("s_suppkey").alias("w"))
+    return left, right
+
+
+_SPLIT = """WITH l AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 0 WHEN c_custkey % 11 <> 1 THEN c_custkey % 200 END AS k, c_nationkey AS v FROM customer WHERE c_custkey % 2 = 0),
+  r AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN 0 WHEN s_suppkey % 11 <> 1 THEN s_suppkey % 200 END AS k, s_suppkey AS w FROM supplier WHERE s_suppkey % 3 <> 2)
+  SELECT DISTINCT coalesce(l.k, r.k) AS k, v, w FROM l {how} JOIN r ON l.k = r.k"""
+
+
+@query("outer_join_hot_key", _SPLIT.format(how="FULL"))
+def outer_join_hot_key(t):
+    return combine.join_tables(*_split_sides(t), "k", "outer")
+
+
+@query("right_join_hot_key", _SPLIT.format(how="RIGHT"))
+def right_join_hot_key(t):
+    return combine.join_tables(*_split_sides(t), "k", "right")

@@ -80,13 +80,13 @@ def id_state(t):
 def skew_join(t):
     """A join on three hot keys, each split into several pieces."""
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", (F.ascii("l_returnflag") - 60).alias("k"))
-    return skew.skew_join(lines, t.nation.select(F.col("n_nationkey").alias("k"), "n_name"), ["k"], "left", hot_rows=1000).drop("k")
+    return skew.skew_join(lines, t.nation.select(F.col("n_nationkey").alias("k"), "n_name"), ["k"], "left").drop("k")
 
 
 @query("skew_semi_join", "SELECT count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS s FROM lineitem WHERE l_returnflag IN ('A', 'R')")
 def skew_semi_join(t):
     wanted = t.lineitem.where("l_returnflag <> 'N'").select("l_returnflag").distinct()
-    return skew.skew_join(t.lineitem, wanted, ["l_returnflag"], "left_semi", hot_rows=1000).agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("s"))
+    return skew.skew_join(t.lineitem, wanted, ["l_returnflag"], "left_semi").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("s"))
 
 
 @query("merge_insert", "SELECT o_orderkey, 'old' AS src FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 'new' FROM orders WHERE o_orderstatus = 'O'")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
-from medweave.operators.skew import skew_join
+from medweave.operators.skew import skew_anti_join, skew_join
 
 # Text that stands for a missing value.
 NULL_PLACEHOLDERS = ["Not Reported", "Unknown", "not reported", "unknown", "N/A", "NA", "--", "Not Applicable"]
@@ -28,22 +28,29 @@ def null_placeholders(df: DataFrame, values: list[str] = NULL_PLACEHOLDERS) -> D
     )
 
 
-def join_tables(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "left") -> DataFrame:
-    """Join on equal keys (NULL equals NULL); other shared columns come from ``left``; repeated rows go.
+def join_tables(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "left", nulls_equal: bool = False) -> DataFrame:
+    """Join on equal keys; other shared columns come from ``left``; repeated rows go.
 
-    ``how`` is inner, left, right or outer.
+    ``how`` is inner, left, right or outer. A NULL in a key matches nothing, unless ``nulls_equal`` says that it matches
+    NULL; then as many rows come out as both sides' NULL rows make pairs.
+
+    Spark cannot part a hot key of a right or full outer join, where a row must be seen to match in no piece. So these are
+    put together from joins it can part: the matches, or the left join, and once the rows of ``right`` whose key
+    ``left`` does not hold.
     """
+    if how not in ("inner", "left", "right", "outer"):
+        raise ValueError(f"how must be inner, left, right or outer, got {how!r}")
     keys = [on] if isinstance(on, str) else list(on)
     extra = [c for c in right.columns if c not in left.columns]
-    # structs compare equal when their NULL fields match, which makes this an equi join on nullable keys
+    # structs are equal when their fields are, NULL fields too, which makes this an equi join on nullable keys
     key = F.struct(*[F.col(k) for k in keys])
-    if how in ("left", "inner"):
-        joined = skew_join(left.withColumn("_k", key), right.select(key.alias("_k"), *extra), ["_k"], how)
-        return joined.select(*left.columns, *extra).dropDuplicates()
-    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *extra)
-    same = reduce(Column.__and__, [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys])
-    merged = [F.coalesce(k, f"_r_{k}").alias(k) if k in keys else F.col(k) for k in left.columns]
-    return left.join(r, same, how).select(*merged, *extra).dropDuplicates()
+    if not nulls_equal:
+        key = F.when(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]), key)
+    l, r = left.withColumn("_k", key), right.select(key.alias("_k"), *keys, *extra)
+    joined = skew_join(l, r.drop(*keys), ["_k"], "left" if how in ("left", "outer") else "inner").select(*left.columns, *extra)
+    if how in ("right", "outer"):
+        joined = joined.unionByName(skew_anti_join(r, l, ["_k"]).select(*keys, *extra), allowMissingColumns=True)
+    return joined.dropDuplicates()
 
 
 def union_parts(dfs: list[DataFrame]) -> DataFrame:
@@ -52,7 +59,7 @@ def union_parts(dfs: list[DataFrame]) -> DataFrame:
 
 def merge_insert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """``target`` plus the rows of ``source`` whose key it does not hold."""
-    return target.unionByName(skew_join(source, target.select(*keys), keys, "left_anti"))
+    return target.unionByName(skew_anti_join(source, target, keys))
 
 
 def role_difference(analysts: DataFrame, stewards: DataFrame, key: str = "user_id") -> DataFrame:

@@ -7,7 +7,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from medweave.operators.skew import lookup_join, skew_join
+from medweave.operators.skew import skew_anti_join, skew_join
 from medweave.session import settle
 
 _ROW_BITS = (1 << 33) - 1
@@ -74,9 +74,9 @@ def new_keys(fact: DataFrame, dim: DataFrame, natural_key: list[str]) -> DataFra
     return wanted.join(dim.select(*natural_key), natural_key, "left_anti")
 
 
-def lookup_dim(fact: DataFrame, dim: DataFrame, natural_key: list[str], id_col: str, salt_by: list[str] | None = None) -> DataFrame:
+def lookup_dim(fact: DataFrame, dim: DataFrame, natural_key: list[str], id_col: str) -> DataFrame:
     """Add the surrogate id of ``dim`` to ``fact``; NULL where the key is blank or unknown."""
-    return lookup_join(fact, dim.select(*natural_key, id_col), natural_key, "left", salt_by)
+    return skew_join(fact, dim.select(*natural_key, id_col), natural_key, "left")
 
 
 def upsert_dim(
@@ -93,7 +93,7 @@ def upsert_dim(
     """
     if dim is None:
         return assign_ids(keys, id_col, order, base).withColumn("is_new", F.lit(True))
-    fresh = skew_join(keys, dim.select(*natural_key), natural_key, "left_anti")
+    fresh = skew_anti_join(keys, dim, natural_key)
     numbered = assign_ids(fresh, id_col, order, base).withColumn("is_new", F.lit(True))
     return dim.withColumn("is_new", F.lit(False)).unionByName(numbered, allowMissingColumns=True)
 

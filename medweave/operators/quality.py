@@ -69,9 +69,9 @@ def fk_orphans(child: DataFrame, parent: DataFrame, keys: dict[str, str]) -> Dat
     return counted.join(held, list(keys), "left_anti")
 
 
-def fk_orphan_rows(child: DataFrame, parent: DataFrame, keys: dict[str, str], salt_by: list[str] | None = None) -> DataFrame:
+def fk_orphan_rows(child: DataFrame, parent: DataFrame, keys: dict[str, str]) -> DataFrame:
     """The child rows themselves."""
-    return skew_join(child, fk_orphans(child, parent, keys).drop("orphans"), list(keys), "left_semi", salt_by)
+    return skew_join(child, fk_orphans(child, parent, keys).drop("orphans"), list(keys), "left_semi")
 
 
 def check_fk(tables: dict[str, DataFrame], child: str, fks: dict[str, tuple[str, str]]) -> DataFrame | None:

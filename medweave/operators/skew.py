@@ -6,14 +6,34 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A key with more rows than this is spread over several tasks.
+# Rows per piece of a key that is split by hand.
 HOT_ROWS = 1_000_000
-# A lookup side is broadcast only after counting that it has no more rows than this.
-BROADCAST_ROWS = 200_000
-
 LEFT_SIDED = ("inner", "left", "left_semi", "left_anti")
 
 
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Equi join on equally named columns whose strategy is settled while it runs, from measured sizes.
+
+    ``right`` is broadcast when its bytes, as shuffled, stay under Spark's threshold. Beyond it, both sides are sorted
+    and merged, and a partition that one key has made too large is read in pieces of its map outputs, each with
+    the same partition of ``right``: equal rows and NULL keys are parted like all others, and ``left`` is computed once.
+    ``session.get_session`` makes adaptive execution do so also where another shuffle must follow.
+    """
+    if how not in LEFT_SIDED:
+        raise ValueError(f"how must be one of {LEFT_SIDED}, got {how!r}")
+    if how in ("left_semi", "left_anti"):
+        right = right.select(*on).distinct()  # each key once, however many rows it has
+    return left.join(right, on, how)
+
+
+def skew_anti_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``left`` whose key ``right`` lacks."""
+    return skew_join(left, right, on, "left_anti")
+
+
+# --- by hand -------------------------------------------------------------------------------------------------
+
+
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame:
     """Keys with more than ``hot_rows`` rows and the number of pieces each is split into.
 
@@ -36,7 +56,7 @@ def _without_maps(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
 
 
-def skew_join(
+def salted_join(
     left: DataFrame,
     right: DataFrame,
     on: list[str],
@@ -44,7 +64,7 @@ def skew_join(
     salt_by: list[str] | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """Equi join on equally named columns; hot keys of ``left`` are split by a salt.
+    """The same split by a salt instead of by Spark: for sessions without adaptive execution.
 
     Rows of ``left`` with a hot key get a salt from a hash of ``salt_by`` (all columns without maps
     by default; give the columns that identify a row: equal rows get one salt), which is the same
@@ -64,25 +84,3 @@ def skew_join(
         .drop("_pieces")
     )
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
-
-
-def fits(df: DataFrame, max_rows: int | None = None) -> bool:
-    """Count (no further than needed) whether ``df`` has at most ``max_rows`` rows."""
-    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    how: str = "left",
-    salt_by: list[str] | None = None,
-    max_rows: int | None = None,
-) -> DataFrame:
-    """Broadcast ``right`` when it is counted to be small, salt the hot keys otherwise."""
-    if how not in LEFT_SIDED:
-        raise ValueError(f"how must be one of {LEFT_SIDED}, got {how!r}")
-    if fits(right.select(*on), max_rows):
-        return left.join(F.broadcast(right), on, how)
-    return skew_join(left, right, on, how, salt_by)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from medweave.functions.vocabulary import MAPPABLE, normalise_code, normalise_vocab, route_domain
 from medweave.operators.keyed import latest_per_key
-from medweave.operators.skew import lookup_join, skew_join
+from medweave.operators.skew import skew_anti_join, skew_join
 
 MAP_COLUMNS = ("vocab", "code", "source_id", "target_id", "destination", "target_order")
 
@@ -26,15 +26,20 @@ def mappable_vocab(df: DataFrame, vocabs: tuple[str, ...] = MAPPABLE) -> DataFra
     return df.where(F.col("vocab").isin(*vocabs))
 
 
-def resolve_targets(concept: DataFrame, maps_to: DataFrame) -> DataFrame:
-    """Target concept and destination of each usable relationship whose target exists and routes."""
+def _links(concept: DataFrame, maps_to: DataFrame) -> DataFrame:
+    """Each usable relationship with the destination of its target; NULL where the target does not exist or route."""
     targets = concept.select(
         F.col("concept_id").alias("target_id"), route_domain(F.col("domain_id")).alias("destination")
     ).where(F.col("destination").isNotNull())
     links = maps_to.select(
         F.col("concept_id_1").alias("source_id"), F.col("concept_id_2").alias("target_id"), F.col("ordinal").alias("target_order")
     )
-    return skew_join(links, targets, ["target_id"], "inner", ["source_id", "target_order"])
+    return skew_join(links, targets, ["target_id"], "left")
+
+
+def resolve_targets(concept: DataFrame, maps_to: DataFrame) -> DataFrame:
+    """Target concept and destination of each usable relationship whose target exists and routes."""
+    return _links(concept, maps_to).where(F.col("destination").isNotNull())
 
 
 def concept_map(concept: DataFrame, relationship: DataFrame) -> DataFrame:
@@ -44,39 +49,37 @@ def concept_map(concept: DataFrame, relationship: DataFrame) -> DataFrame:
     target: it is known, but writes nothing. A concept without a relationship stands for itself
     with target 0. Of several concepts with the same code the last one counts, unless it has
     neither a relationship nor a destination.
+
+    Concepts and relationships, told apart by which struct they fill, meet in one grouping by source id, where a concept's
+    targets become an array; that array is carried to the code's last concept and unfolded at the end.
     """
-    maps_to = valid_maps_to(relationship)
+    kind = concept.schema["concept_id"].dataType
     sources = mappable_vocab(
         concept.where(F.col("concept_id").isNotNull()).select(
-            normalise_vocab(F.col("vocabulary_id")).alias("vocab"),
-            normalise_code(F.col("concept_code")).alias("code"),
-            F.col("concept_id").alias("source_id"),
-            route_domain(F.col("domain_id")).alias("own"),
-            "ordinal",
+            F.col("concept_id").alias("source_id"), normalise_vocab(F.col("vocabulary_id")).alias("vocab"),
+            normalise_code(F.col("concept_code")).alias("code"), route_domain(F.col("domain_id")).alias("own"), "ordinal",
         )
+    ).select("source_id", F.struct("vocab", "code", "own", "ordinal").alias("concept"))
+    links = _links(concept, valid_maps_to(relationship)).select(
+        F.col("source_id").cast(kind).alias("source_id"), F.struct(F.col("target_id").cast(kind).alias("target_id"), "destination", "target_order").alias("link")
     )
-    linked = maps_to.select(F.col("concept_id_1").alias("source_id"), F.lit(True).alias("linked")).distinct()
-    candidates = sources.join(linked, "source_id", "left").where(F.col("linked").isNotNull() | F.col("own").isNotNull())
-    winners = latest_per_key(candidates, ["vocab", "code"], ["ordinal"])
-    targets = resolve_targets(concept, maps_to)
-    mapped = skew_join(targets, winners.where("linked").select("vocab", "code", "source_id"), ["source_id"], "inner", ["target_id", "target_order"])
-    bare = winners.where("linked").join(targets.select("source_id").distinct(), "source_id", "left_anti")
-    no_target = F.lit(None).cast(concept.schema["concept_id"].dataType)
-    own_target = F.lit(0).cast(concept.schema["concept_id"].dataType)
-    alone = winners.where("linked is null").unionByName(bare).select(
-        "vocab",
-        "code",
-        "source_id",
-        F.when(F.col("linked"), no_target).otherwise(own_target).alias("target_id"),
-        F.when(F.col("linked").isNull(), F.col("own")).alias("destination"),
+    met = sources.unionByName(links, allowMissingColumns=True).groupBy("source_id").agg(
+        F.collect_list("concept").alias("concepts"),  # one, unless an id is given to several concepts
+        F.max(F.col("link").isNotNull()).alias("linked"),
+        F.collect_list(F.when(F.col("link.destination").isNotNull(), F.col("link"))).alias("targets"),  # what one concept maps to
     )
-    return mapped.unionByName(alone, allowMissingColumns=True).select(*MAP_COLUMNS)
+    candidates = met.select("source_id", "linked", "targets", F.explode("concepts").alias("c")).select("source_id", "linked", "targets", "c.*")
+    winners = latest_per_key(candidates.where(F.col("linked") | F.col("own").isNotNull()), ["vocab", "code"], ["ordinal"])
+    nothing = F.lit(None)
+    itself = F.struct(F.lit(0).cast(kind).alias("target_id"), F.col("own").alias("destination"), nothing.cast(relationship.schema["ordinal"].dataType).alias("target_order"))
+    written = F.when(~F.col("linked"), F.array(itself)).otherwise(F.col("targets"))
+    return winners.select("vocab", "code", "source_id", F.explode_outer(written).alias("t")).select("vocab", "code", "source_id", "t.*").select(*MAP_COLUMNS)
 
 
-def lookup_codes(codes: DataFrame, mapping: DataFrame, salt_by: list[str] | None = None) -> DataFrame:
+def lookup_codes(codes: DataFrame, mapping: DataFrame) -> DataFrame:
     """Add the mapping to each code; ``known`` is false where the map has no such code."""
     marked = mapping.withColumn("known", F.lit(True))
-    found = lookup_join(codes, marked, ["vocab", "code"], "left", salt_by)
+    found = skew_join(codes, marked, ["vocab", "code"], "left")
     return found.withColumn("known", F.coalesce("known", F.lit(False)))
 
 
@@ -86,9 +89,9 @@ def fact_targets(found: DataFrame, destination: str | None = None) -> DataFrame:
     return writes if destination is None else writes.where(F.col("destination") == destination)
 
 
-def unmapped_codes(codes: DataFrame, mapping: DataFrame, salt_by: list[str] | None = None) -> DataFrame:
+def unmapped_codes(codes: DataFrame, mapping: DataFrame) -> DataFrame:
     """Rows of ``codes`` the map does not know."""
-    return lookup_join(codes, mapping.select("vocab", "code").distinct(), ["vocab", "code"], "left_anti", salt_by)
+    return skew_anti_join(codes, mapping, ["vocab", "code"])
 
 
 def unmapped_frequency(codes: DataFrame, mapping: DataFrame, min_count: int = 1) -> DataFrame:

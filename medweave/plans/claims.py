@@ -55,9 +55,9 @@ def skip_header_rows(df: DataFrame, col: str = PERSON, token: str = PERSON) -> D
     return df.where(~F.trim(F.col(col), F.lit('"')).eqNullSafe(F.lit(token)))
 
 
-def attach_claims(person: DataFrame, claims: DataFrame, key: str = PERSON, salt_by: list[str] | None = None) -> DataFrame:
+def attach_claims(person: DataFrame, claims: DataFrame, key: str = PERSON) -> DataFrame:
     """Claims of known persons, with the columns of ``person``; persons with very many claims are split."""
-    return skew_join(claims, person, [key], "inner", salt_by)
+    return skew_join(claims, person, [key], "inner")
 
 
 # --- claims in one shape -------------------------------------------------------------------------------
@@ -208,7 +208,7 @@ def build_person(people: DataFrame, location: DataFrame) -> DataFrame:
         "person_id", PERSON, "latest.*",
         fc.location_key(F.col("earliest.SP_STATE_CODE"), F.col("earliest.BENE_COUNTY_CD")).alias("location_source_value"),
     )
-    placed = ids.lookup_dim(named, location, ["location_source_value"], "location_id", ["person_id"])
+    placed = ids.lookup_dim(named, location, ["location_source_value"], "location_id")
     origin = fc.race_ethnicity(F.col("BENE_RACE_CD"))
     return placed.select(
         "person_id",
@@ -285,7 +285,7 @@ def build_provider(claims: DataFrame, care_site: DataFrame, known: DataFrame | N
         F.col("_p.source_value").alias("provider_source_value"),
     )
     first = keyed.first_seen(seen, ["NPI"], [*CLAIM_ORDER, "at"])
-    keys = ids.lookup_dim(first, care_site, ["care_site_source_value"], "care_site_id", ["NPI"])
+    keys = ids.lookup_dim(first, care_site, ["care_site_source_value"], "care_site_id")
     dim = ids.upsert_dim(known, keys.drop("care_site_source_value"), ["NPI"], "provider_id", [*CLAIM_ORDER, "at"], base)
     return dim.drop(*CLAIM_ORDER, "at")
 
@@ -298,15 +298,15 @@ def build_visits(claims: DataFrame, base: int) -> DataFrame:
 
 
 def attach_visit(claims: DataFrame, visits: DataFrame, keys: list[str] = VISIT_KEY) -> DataFrame:
-    return skew_join(claims, visits, keys, "left", ["row_id"])
+    return skew_join(claims, visits, keys, "left")
 
 
 def resolve_claims(claims: DataFrame, visits: DataFrame, care_site: DataFrame, provider: DataFrame) -> DataFrame:
     """Narrow claim rows with the ids of their visit, care site and provider, written once."""
     narrow = claims.select(*CLAIM_ORDER, "feed", "visit_site", F.col("fact_site").alias("care_site_source_value"), F.col("fact_npi").alias("NPI"))
     found = attach_visit(narrow, visits)
-    found = ids.lookup_dim(found, care_site, ["care_site_source_value"], "care_site_id", ["row_id"])
-    found = ids.lookup_dim(found, provider, ["NPI"], "provider_id", ["row_id"])
+    found = ids.lookup_dim(found, care_site, ["care_site_source_value"], "care_site_id")
+    found = ids.lookup_dim(found, provider, ["NPI"], "provider_id")
     return settle(found.drop("visit_site", "care_site_source_value", "NPI"))
 
 
@@ -318,7 +318,7 @@ FACT_ORDER = [*CLAIM_ORDER, "code_order", "target_order"]
 def build_facts(claims: DataFrame, resolved: DataFrame, mapping: DataFrame) -> DataFrame:
     """Every code of every claim with its targets, written once for all the tables made from it."""
     coded = explode_codes(claims.select("row_id", "codes").join(resolved, "row_id"), resolved.columns)
-    return settle(vocab.lookup_codes(coded, mapping, ["row_id", "code_order"]))
+    return settle(vocab.lookup_codes(coded, mapping))
 
 
 def build_visit_occurrence(facts: DataFrame) -> DataFrame:
@@ -441,7 +441,7 @@ def union_facts(dfs: list[DataFrame]) -> DataFrame:
 def prescription_codes(prescriptions: DataFrame, mapping: DataFrame) -> DataFrame:
     """Prescriptions with the targets of their drug code; unknown codes get concept 0, written once."""
     coded = prescriptions.withColumn("vocab", F.lit(NDC)).withColumn("code", F.col("PROD_SRVC_ID"))
-    found = vocab.lookup_codes(coded, mapping, ["row_id"])
+    found = vocab.lookup_codes(coded, mapping)
     for c in ("source_id", "target_id"):
         found = found.withColumn(c, F.when(F.col("known"), F.col(c)).otherwise(F.lit(0).cast(mapping.schema[c].dataType)))
     return settle(found)
@@ -502,7 +502,7 @@ def _tie(person_ids: DataFrame, feed: DataFrame) -> DataFrame:
     The id is taken while the feed is read, where a repeated task sees the same rows in the same order.
     """
     rows = feed.withColumn("row_id", F.monotonically_increasing_id())
-    return settle(attach_claims(person_ids, rows, PERSON, ["row_id"]).drop(PERSON))
+    return settle(attach_claims(person_ids, rows, PERSON).drop(PERSON))
 
 
 @dataclass

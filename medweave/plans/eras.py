@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from medweave.operators.ids import assign_ids
 from medweave.operators.intervals import condition_end, drug_end, merge_intervals
-from medweave.operators.skew import lookup_join
+from medweave.operators.skew import skew_join
 
 GAP_DAYS = 30
 
@@ -38,7 +38,7 @@ def ingredient_rollup(exposure: DataFrame, ancestor: DataFrame, concept: DataFra
     parts = parts.select(
         F.col("descendant_concept_id").alias("drug_concept_id"), F.col("ancestor_concept_id").alias("ingredient_concept_id")
     ).distinct()
-    return lookup_join(exposures, parts, ["drug_concept_id"], "inner")
+    return skew_join(exposures, parts, ["drug_concept_id"], "inner")
 
 
 def drug_era(exposure: DataFrame, ancestor: DataFrame, concept: DataFrame, gap: int = GAP_DAYS, strict: bool = False) -> DataFrame:

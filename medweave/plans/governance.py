@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from medweave.functions import access as fa
 from medweave.operators.combine import merge_insert
-from medweave.operators.skew import lookup_join, skew_join
+from medweave.operators.skew import skew_join
 
 Now = int | Column
 
@@ -74,11 +74,11 @@ QUEUE = [
 def request_decisions(requests: DataFrame, catalog: DataFrame, perms: DataFrame, now: Now) -> DataFrame:
     """Requests with what the catalog says of their dataset and the decision for their submitter."""
     known = catalog.withColumnRenamed("dataset_id", "dataset")
-    joined = lookup_join(requests, known, ["dataset"], "left", ["request_id"])
+    joined = skew_join(requests, known, ["dataset"], "left")
     held = _permissions(perms).select(
         F.col("dataset_id").alias("dataset"), "consent_group", F.col("_holder").alias("submitter"), "_holder", "_role", "_expires"
     )
-    return skew_join(joined, held, ["dataset", "consent_group", "submitter"], "left", ["request_id"])
+    return skew_join(joined, held, ["dataset", "consent_group", "submitter"], "left")
 
 
 def steward_queue(requests: DataFrame, catalog: DataFrame, perms: DataFrame, now: Now, is_steward: bool) -> DataFrame:
@@ -97,7 +97,7 @@ def my_requests(requests: DataFrame, catalog: DataFrame, user: str) -> DataFrame
     """A user's requests with the consent group of the dataset, newest first."""
     own = requests.where(F.col("submitter") == user)
     groups = catalog.select(F.col("dataset_id").alias("dataset"), "consent_group")
-    return lookup_join(own, groups, ["dataset"], "left", ["request_id"]).orderBy(F.desc("created_at"), "request_id")
+    return skew_join(own, groups, ["dataset"], "left").orderBy(F.desc("created_at"), "request_id")
 
 
 def row_scope(df: DataFrame, user: str, is_steward: bool, owner: str = "user") -> DataFrame:
@@ -122,7 +122,7 @@ def active_grants(grants: DataFrame, now: Column) -> DataFrame:
 def consent_filter(df: DataFrame, grants: DataFrame, user: str, now: Column, tag: str = "_consents_") -> DataFrame:
     """Rows whose tag the user has an active grant for."""
     tags = active_grants(grants, now).where(F.col("user_email") == user).select(F.col("consent_tag").alias(tag)).distinct()
-    return lookup_join(df, tags, [tag], "left_semi")
+    return skew_join(df, tags, [tag], "left_semi")
 
 
 def register_active_consent(spark: SparkSession, grants_view: str, name: str = "has_active_consent") -> None:
@@ -266,7 +266,7 @@ def download_decisions(requests: DataFrame, decisions: DataFrame, user: str, ena
     per_dataset = decisions.groupBy(F.col("dataset_id").alias("dataset")).agg(
         F.max(F.struct((F.col("decision") == fa.GRANTED).alias("granted"), "decision")).alias("_b")
     )
-    joined = lookup_join(requests, per_dataset, ["dataset"], "left", ["request_id"])
+    joined = skew_join(requests, per_dataset, ["dataset"], "left")
     gate = fa.download_gate(
         F.col("status"), F.col("output_table"), F.col("submitter"), F.col("expires_at"), F.lit(user), F.col("_b.decision"), F.lit(enabled), now
     )

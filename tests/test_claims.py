@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from medweave import schemas as S
 from medweave.functions import claims as fc
 from medweave.functions.coverage import coverage_window, payer_plan_periods
+from medweave.operators import vocab
 from medweave.plans import claims as C
 from medweave.sources import files, tables
 
@@ -230,3 +231,15 @@ def test_ids_of_many_groups_from_one_sort(spark):
     assert out.columns == ["number", "a", "id", "kind"]
     one = out.where("kind = 'rare'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(kind" in one and "Exchange range" not in one
+
+
+def test_concept_map_groups_once(spark, tmp_path):
+    """At most five scans and six shuffles, from files to the finished map."""
+    concept = [(i, ["Condition", "Drug", "none"][i % 3], ["ICD9CM", "NDC", "SNOMED"][i % 3], f"c{i % 40}", i) for i in range(200)]
+    links = [(i, (i * 7) % 230, "Maps to", "", i) for i in range(0, 200, 2)]
+    spark.createDataFrame(concept, "concept_id long, domain_id string, vocabulary_id string, concept_code string, ordinal long").write.parquet(f"{tmp_path}/c")
+    spark.createDataFrame(links, "concept_id_1 long, concept_id_2 long, relationship_id string, invalid_reason string, ordinal long").write.parquet(f"{tmp_path}/r")
+    found = vocab.concept_map(spark.read.parquet(f"{tmp_path}/c"), spark.read.parquet(f"{tmp_path}/r"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 5 and plan.count("Exchange ") + plan.count("BroadcastExchange") <= 6
+    assert found.count() > 0
