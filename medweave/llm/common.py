@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from medweave.session import new_folder
+
 # White space in the contracts of these operators: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -52,6 +54,13 @@ def ship(spark: SparkSession) -> None:
     SHIPPED["to"] = spark.sparkContext.applicationId
 
 
+def settle_texts(df: DataFrame, row_group: int = 16 << 20) -> DataFrame:
+    """``session.settle`` for rows with whole texts: small row groups, since each writer holds one in memory."""
+    path = new_folder(df.sparkSession, "texts")
+    df.write.option("parquet.block.size", row_group).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """``names`` with underscores put before them until none is a column of ``df`` (whatever the case)."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -18,7 +18,7 @@ from math import log2
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from medweave.llm.common import SPACES, query, table, unused
+from medweave.llm.common import SPACES, query, settle_texts, table, unused
 from medweave.session import settle
 
 GAP = r"[\x20\x09-\x0D]+"
@@ -242,11 +242,14 @@ def rule_verdicts(docs: DataFrame, labels: DataFrame, **options) -> tuple[DataFr
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that neither the base rule nor the list rejects, with the columns they have."""
-    marked = statistics(docs, result=(own := unused(docs, "_quality")[0]))
-    sample = marked.select("doc_id", F.col(own).alias("stats"))
-    marks = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("_known")).distinct()
-    rules = learn(labelled_rows(settle(sample.join(marks, F.col("doc_id").cast("long") == F.col("_known"), "left_semi")), labels), **options)
+    """The documents that neither the base rule nor the list rejects, with the columns they have.
+
+    Statistics cost far more than writing: they are taken once and written with the documents before anything asks for
+    them, since Spark would work them out anew in a filter next to them.
+    """
+    (own,) = unused(docs, "_quality")
+    marked = settle_texts(statistics(docs, result=own))
+    rules = learn(labelled_rows(marked.select("doc_id", F.col(own).alias("stats")), labels), **options)
     return marked.where(~base_failed(F.col(own)) & verdict(rules, F.col(own))).drop(own)
 
 
