@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from medweave.llm.common import query, table
 from medweave.session import settle
 
+WORDS_KEPT = 200_000  # words whose ids a Python worker keeps: about 40 MB
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, nth long"
 
 
@@ -35,7 +37,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
 
         from medweave.llm.tokens import encoder, pack
 
-        encode, end, part, seen = encoder(tokenizer).encode, pack([end_id]), TaskContext.get().partitionId(), {}
+        encode, end, part, seen = encoder(tokenizer, WORDS_KEPT).encode, pack([end_id]), TaskContext.get().partitionId(), {}
         names = [c.split()[0] for c in PIECES.split(", ")]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
         for batch in batches:

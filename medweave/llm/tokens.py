@@ -109,6 +109,6 @@ def pack(ids: Iterable[int]) -> bytes:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, words_kept: int = WORDS_KEPT) -> Encoder:
     """The encoder of this Python process."""
-    return Encoder(path)
+    return Encoder(path, words_kept)
