@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from medweave.operators.skew import skew_anti_join, skew_join
 from medweave.session import settle
 
-_ROW_BITS = (1 << 33) - 1
+ROW_BITS = (1 << 33) - 1
 
 
 def assign_ids(
@@ -33,7 +33,7 @@ def assign_ids(
         placed = placed.sortWithinPartitions(*order)
     placed = settle(
         placed.withColumn("_part", F.spark_partition_id()).withColumn(
-            "_place", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS))
+            "_place", F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_BITS))
         )
     )
     # one row per partition, so a list as short as the number of tasks
@@ -55,7 +55,7 @@ def assign_ids_by(df: DataFrame, group: str, id_col: str, order: Sequence[str |
     spark = df.sparkSession
     placed = df.where(F.col(group).isin(*bases)).repartitionByRange(*order).sortWithinPartitions(group, *order)
     placed = settle(
-        placed.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS))), group
+        placed.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_BITS))), group
     )
     sizes = placed.groupBy("_part", group).agg(F.count(F.lit(1)).alias("_size"), F.min("_place").alias("_first")).orderBy("_part").collect()
     following, offsets = dict(bases), []

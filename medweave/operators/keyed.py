@@ -1,4 +1,4 @@
-"""First / latest record per key, as aggregates with map-side combine (no per-key sort)."""
+"""First / latest record per key, as aggregates with map-side combine; Spark sorts for them when records are structs."""
 
 from __future__ import annotations
 

@@ -7,10 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from medweave.operators.ids import assign_ids
+from medweave.operators.ids import ROW_BITS
+from medweave.session import settle
 
-# Rows up to here are found by a top-k; pages further in go by row number.
-TOP_K_ROWS = 100_000
 LIST_PAGE, PREVIEW_PAGE = 5, 20
 
 Order = Sequence[str | Column]
@@ -43,16 +42,36 @@ def row_cap(df: DataFrame, n: int) -> DataFrame:
     return df.limit(n)
 
 
-def page(df: DataFrame, order: Order, number: int, size: int = LIST_PAGE) -> DataFrame:
-    """Page ``number`` (from 1) of the rows in ``order``.
+class Pages:
+    """The rows of a frame in ``order``, to be read page by page.
 
-    A page far in is cut out by row number, so that no task has to hold all rows before it.
+    The rows are range-partitioned and sorted once, ties by the other columns, and written with a folder per range. The number of
+    rows per range, one entry per task, tells which ranges a page lies in; only their folders are read. Every page, near or far
+    in, has the same plan, and tied rows never change pages.
     """
-    skip = (max(1, number) - 1) * size
-    if skip + size <= TOP_K_ROWS:
-        return df.orderBy(*order).offset(skip).limit(size)
-    numbered = assign_ids(df, "_row", order, 0)
-    return numbered.where(F.col("_row").between(skip, skip + size - 1)).orderBy("_row").drop("_row")
+
+    def __init__(self, df: DataFrame, order: Order) -> None:
+        self.columns = df.columns
+        given = {o for o in order if isinstance(o, str)}
+        whole = [*order, *[f.name for f in df.schema if f.name not in given and "map<" not in f.dataType.simpleString()]]
+        placed = df.repartitionByRange(*whole).sortWithinPartitions(*whole)
+        self.rows = settle(placed.withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_BITS))}), "_range")
+        self.sizes = {r["_range"]: r["n"] for r in self.rows.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect()}
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """Page ``number``, from 1; lower numbers are the first page, beyond the last there are no rows."""
+        first, before, inside = (max(1, number) - 1) * size, 0, F.lit(False)
+        for part, n in self.sizes.items():
+            low, high = max(first - before, 0), min(first + size - before, n) - 1
+            if low <= high:
+                inside = inside | ((F.col("_range") == part) & F.col("_place").between(low, high))
+            before += n
+        return self.rows.where(inside).orderBy("_range", "_place").select(*self.columns)
+
+
+def page(df: DataFrame, order: Order, number: int, size: int = LIST_PAGE) -> DataFrame:
+    """Page ``number`` (from 1) of the rows in ``order``; keep a :class:`Pages` to read several."""
+    return Pages(df, order).page(number, size)
 
 
 def search(df: DataFrame, text: str, cols: list[str]) -> DataFrame:

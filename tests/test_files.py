@@ -392,9 +392,16 @@ def test_all_foreign_keys_of_a_table(spark):
     assert sorted((r["column"], r["value"], r["orphans"]) for r in got.collect()) == [("cause_concept_id", "9", 1), ("person_id", "2", 1)]
 
 
-def test_deep_page_equals_shallow_page(spark, monkeypatch):
-    df = spark.range(500).select((F.col("id") * 37 % 500).alias("x"))
-    shallow = [r["x"] for r in ordering.page(df, ["x"], 4, 20).collect()]
-    monkeypatch.setattr(ordering, "TOP_K_ROWS", 10)
-    assert [r["x"] for r in ordering.page(df, ["x"], 4, 20).collect()] == shallow == list(range(60, 80))
-    assert [r["x"] for r in ordering.page(df, ["x"], 0, 20).collect()] == list(range(20))
+def test_every_page_has_one_plan(spark):
+    """Ties included: the pages follow each other without a gap, and a page far in reads the folders it lies in."""
+    df = spark.range(0, 500, 1, 7).select((F.col("id") * 37 % 10).alias("x"), "id", F.create_map(F.lit("m"), F.col("id")).alias("m"))
+    want = sorted((r.x, r.id) for r in df.collect())
+    for order in (["x"], [F.col("x")]):
+        pages = ordering.Pages(df, order)
+        got = [[(r.x, r.id) for r in pages.page(n, 33).collect()] for n in range(1, 18)]
+        assert [x for page in got for x in page] == want and got[16] == [] and all(len(p) == 33 for p in got[:15])
+    near, far = (pages.page(n, 20)._jdf.queryExecution().executedPlan().toString() for n in (1, 24))
+    assert "PartitionFilters: [" in far and "_range" in far.split("PartitionFilters: [")[1].split("]")[0]
+    assert [line.split("(")[0].strip() for line in near.splitlines() if "Exchange" in line or "TakeOrdered" in line] == [line.split("(")[0].strip() for line in far.splitlines() if "Exchange" in line or "TakeOrdered" in line]
+    assert [r["x"] for r in ordering.page(df.select("x"), ["x"], 0, 20).collect()] == [0] * 20
+    assert ordering.page(df.where("x < 0"), ["x"], 1).count() == 0
\ No newline at end of file
