@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from medweave.llm import language_id, line_dedup, near_dedup, packing, piece_sampling, quality_rules, token_counts, vp_tree
+from medweave.llm.queries import QUERIES
 from medweave.llm.tokens import library
 from medweave.session import settle
 
@@ -139,11 +140,32 @@ def test_recall(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
-def test_counts(spark, odd, none):
+def brute_counts(docs, tokenizer):
+    ids = lambda text: library(tokenizer).encode(text or "", add_special_tokens=False).ids
+    return Counter((r["doc_id"], len((r["text"] or "").encode()), len(ids(r["text"]))) for r in docs.collect())
+
+
+@pytest.mark.parametrize("tokenizer", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_counts(spark, odd, none, tokenizer):
     for docs in (odd, documents(spark)):
-        want = Counter((r["doc_id"], len((r["text"] or "").encode()), len(library(WORD).encode(r["text"] or "", add_special_tokens=False).ids)) for r in docs.collect())
-        assert Counter(map(tuple, token_counts.count_tokens(docs, WORD).collect())) == want
-    assert token_counts.count_tokens(none, WORD).collect() == []
+        assert Counter(map(tuple, token_counts.count_tokens(docs, path(tokenizer)).collect())) == brute_counts(docs, path(tokenizer))
+    assert token_counts.count_tokens(none, path(tokenizer)).collect() == []
+
+
+def test_counts_of_words_in_all_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "BLOCK_BYTES", 2000)  # local tasks are forked with it
+    docs = spark.range(0, 3000, 1, 4).selectExpr("id AS doc_id", "concat('the the ', repeat('again ', cast(id % 600 AS int)), 'w', id, if(id % 7 = 0, '', ' ünd')) AS text")
+    assert Counter(map(tuple, token_counts.count_tokens(docs, WORD).collect())) == brute_counts(docs, WORD)
+    made = token_counts.blocks(docs, WORD, 8)
+    assert made.select("block", "range").distinct().count() == made.count()
+    with pytest.raises(ValueError):
+        token_counts.pre_tokens("other.model")
+
+
+def test_counts_as_registered(spark):
+    got = QUERIES["op8_token_counts"](spark, FOLDER)
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_tokens", "bigint"), ("over_limit", "boolean")]
+    assert Counter(map(tuple, got.collect())) == Counter({(*k, k[2] > 2048): n for k, n in brute_counts(documents(spark), WORD).items()})
 
 
 def test_pieces(spark, odd, none):
