@@ -3,8 +3,9 @@
 A segmentation is drawn with probability proportional to exp(weight * sum of piece scores): forward filtering sums
 over all paths of the piece lattice, backward sampling draws the last piece, then the one before, to the start.
 The model's pieces hold their space marks in front only (others are an error), so that the lattice of a text falls
-into those of its words with the spaces before them; a word's filtered lattice is made once per worker and kept in a
-table of bounded size. Random numbers are a hash of the seed, the row key, the word's place and the step: a row's
+into those of its words with the spaces before them; a word's filtered lattice is kept by its worker in a table of bounded
+size. New words of equal length are filtered forward together, position by position, substrings being looked up by 64-bit rolling
+hashes in a sorted table of the pieces. Random numbers are a hash of the seed, the row key, the word's place and the step: a row's
 segmentation does not depend on partitions, batches or repeated runs. Characters the model lacks become UTF-8 bytes, and so
 does a literal space mark (U+2581), which keeps decoding lossless.
 
@@ -26,8 +27,11 @@ from medweave.llm.near_dedup import mixed
 MARK, BARRED = "▁", "￾"  # the space mark; what stands for a literal one in the lattice, a noncharacter no piece holds
 WEIGHT = 0.001  # scores of this kind of model are ranks; at 0 all segmentations are equally likely
 KEPT_EDGES, KEPT_WORD = 4_000_000, 200  # edges a worker keeps before it starts again; longer words are not kept
+TOGETHER, LONGEST_TOGETHER = 1 << 13, 64  # words that are filtered at a time, and their greatest length; longer ones go one by one
 BATCH_BYTES = 1 << 21
 SEED = 17
+LEADING = 20  # bits of a hash that are looked at first, as most substrings are no piece
+BASE = 0x9E3779B97F4A7C15  # of the rolling hash, modulo 2^64
 
 
 class Lattices:
@@ -53,8 +57,26 @@ class Lattices:
             raise ValueError("a piece reaches over a word's end")
         self.longest = max(map(len, self.pieces))
         self.unknown = min(s for _, s in self.pieces.values()) - 10 * weight
+        self.table()
         self.clear()
 
+    def table(self) -> None:
+        """The pieces by hash: sorted hashes, the id and score of each, and which leading bits occur. ASCII the model lacks is one byte."""
+        import numpy as np
+
+        lacking = {c: (self.byte_ids[ord(c)], self.unknown) for c in map(chr, range(128)) if c != " " and c not in self.pieces}
+        looked_up = self.pieces | lacking
+        self.letters = {p for p in looked_up if len(p) == 1}
+        hashes = np.array([rolled(p) for p in looked_up], np.uint64)
+        order = np.argsort(hashes)
+        ids, scores = zip(*looked_up.values(), strict=True)
+        self.leading = np.zeros(1 << LEADING, bool)
+        self.leading[hashes >> np.uint64(64 - LEADING)] = True
+        self.hashes, self.ids, self.scores = hashes[order], np.array(ids, np.int32)[order], np.array(scores)[order]
+        if (self.hashes[1:] == self.hashes[:-1]).any():
+            raise ValueError("two pieces share a hash")
+        self.powers = np.array([pow(BASE, k, 1 << 64) for k in range(LONGEST_TOGETHER + 1)], np.uint64)
+
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.cumulative, self.piece, self.back = array("d"), array("i"), array("i")
@@ -101,16 +123,64 @@ class Lattices:
             at.append(node)
         return at[-1]
 
-    def ends(self, words: list[str]) -> list[int]:
-        known, out = self.known, []
+    def add_equal(self, texts: list[str]) -> list[int]:
+        """``add`` for many texts of one length, each character of which is a piece or one byte: nodes go by position, then by text."""
+        import numpy as np
+
+        many, n, base = len(texts), len(texts[0]), self.nodes
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(many, n).T.astype(np.uint64)
+        prefix, total, column = np.zeros((n + 1, many), np.uint64), np.zeros((n + 1, many)), np.arange(many)
+        for end in range(1, n + 1):
+            prefix[end] = prefix[end - 1] * np.uint64(BASE) + codes[end - 1]
+            begins = np.arange(max(0, end - self.longest), end)
+            value = prefix[end] - prefix[begins] * self.powers[end - begins][:, None]
+            hit = self.leading[value >> np.uint64(64 - LEADING)]
+            at = np.zeros(value.shape, np.int64)
+            at[hit] = np.minimum(np.searchsorted(self.hashes, value[hit]), len(self.hashes) - 1)
+            hit &= self.hashes[at] == value
+            ways = np.where(hit, total[begins] + self.scores[at], -np.inf)
+            most = ways.max(0)
+            shares = np.exp(ways - most)
+            whole = shares.sum(0)
+            total[end] = most + np.log(whole)
+            upto = np.cumsum(shares / whole, 0)
+            upto[-1] = 1.0  # the last character by itself is always a way
+            node, of = base + (end - 1) * many + column, hit.T
+            back = np.where(begins[:, None] > 0, base + (begins[:, None] - 1) * many + column, -1)
+            self.cumulative.frombytes((upto + node).T[of].tobytes())
+            self.piece.frombytes(self.ids[at].T[of].tobytes())
+            self.back.frombytes(back.T[of].astype(np.int32).tobytes())
+        self.nodes += n * many
+        return (base + (n - 1) * many + column).tolist()
+
+    def learn(self, words: Iterable[str]) -> dict[str, int]:
+        """The end nodes of distinct new words."""
+        made, by_length = {}, {}
         for word in words:
-            node = known.get(word)
-            if node is None:
-                node = self.add(word)
-                if len(word) <= KEPT_WORD:
-                    known[word] = node
-            out.append(node)
-        return out
+            text = word.replace(MARK, BARRED).replace(" ", MARK)
+            if len(text) <= LONGEST_TOGETHER and self.letters.issuperset(text):
+                by_length.setdefault(len(text), []).append((word, text))
+            else:
+                made[word] = self.add(word)
+        for own in by_length.values():
+            for k in range(0, len(own), TOGETHER):
+                some, texts = zip(*own[k : k + TOGETHER], strict=True)
+                made.update(zip(some, self.add_equal(list(texts)), strict=True))
+        return made
+
+    def ends(self, words: list[str]) -> list[int]:
+        known = self.known
+        made = self.learn(dict.fromkeys(w for w in words if w not in known))
+        known.update((w, node) for w, node in made.items() if len(w) <= KEPT_WORD)
+        return [known[w] if w in known else made[w] for w in words]
+
+
+def rolled(text: str) -> int:
+    """The rolling hash of a text's code points."""
+    value = 0
+    for c in text:
+        value = (value * BASE + ord(c)) % (1 << 64)
+    return value
 
 
 @cache

@@ -190,6 +190,49 @@ def test_odd_texts_stay_whole():
         assert b"".join(own.bytes_of[i] for i in ids)[1:].decode() == text
 
 
+def all_paths(own, text):
+    """Every segmentation of ``text`` into pieces, with the sum of its scores."""
+    if not text:
+        return {(): 0.0}
+    out = {}
+    for k in range(1, min(len(text), own.longest) + 1):
+        if text[:k] in own.pieces:
+            piece, score = own.pieces[text[:k]]
+            for rest, weight in all_paths(own, text[k:]).items():
+                out[(piece, *rest)] = weight + score
+    return out
+
+
+def lattice_paths(own, node):
+    """Every way back from ``node`` to the start, with its probability."""
+    if node < 0:
+        return {(): 1.0}
+    cumulative, out, so_far = np.array(own.cumulative), {}, 0.0
+    begin = np.searchsorted(cumulative, node, side="right")
+    for edge in range(begin, np.searchsorted(cumulative, node + 1) + 1):  # what is less likely than a sum can hold is not met
+        p, so_far = cumulative[edge] - node - so_far, cumulative[edge] - node
+        for before, q in lattice_paths(own, own.back[edge]).items():
+            out[(*before, own.piece[edge])] = p * q
+    return out
+
+
+@pytest.mark.parametrize("weight", [0.0, 0.00001, 0.001])
+def test_words_filtered_together_have_all_their_segmentations(weight):
+    own, one = (piece_sampling.Lattices(PIECE, weight) for _ in range(2))
+    words = [" the", " abc", "x", " zzzz", "the s", " lower", " flower", "  a", " Straße", " été", "語 a", "a▁b", "b😀c", " tower", " a\nbc\t", " " * 70]
+    ends = own.ends(words)
+    for word, node in list(zip(words, ends, strict=True))[:-1]:
+        got, alone = lattice_paths(own, node), lattice_paths(one, one.add(word))
+        assert all(abs(alone.get(k, 0) - got.get(k, 0)) < 1e-9 for k in alone | got)
+        if all(c in own.pieces for c in word.replace(" ", "▁")) and "▁" not in word:
+            want = all_paths(own, word.replace(" ", "▁"))
+            want = {k: np.exp(v - max(want.values())) for k, v in want.items()}
+            whole = sum(want.values())
+            assert all(abs(got.get(k, 0) - want.get(k, 0) / whole) < 1e-9 for k in want | got)
+            assert weight or got.keys() == want.keys()
+    assert own.ends(words) == ends  # kept, not filtered again
+
+
 def test_draws_follow_the_lattice():
     """Shares of each segmentation of a word are those of the exponential of its summed scores."""
     import sentencepiece
