@@ -2,7 +2,9 @@
 
 A step (submissions, stewards' decisions, downloads) writes all it changes into a data folder that nobody reads yet: whole
 rows of the requests it changes, its events, its artifacts. It counts from the moment its entry in the log is there, which one
-rename makes; so a decision, its artifact and its event are there together or not at all. Entries are numbered, and a number
+rename makes; so a decision, its artifact and its event are there together or not at all. Requests of a step that ask one
+dataset for the same rows and columns share them: these are written once, and each request's own stamps beside them, so that what
+is written grows with the different artifacts and the requests, not with their product. Entries are numbered, and a number
 can be taken once: a step that read version n may only write n + 1, and when another one was first it is worked out anew on
 the newer state (``update``). A lost driver leaves a data folder that no entry names.
 
@@ -125,8 +127,11 @@ class RequestStore:
 
     def artifact(self, request: Row) -> DataFrame:
         """The rows of an approved request: the columns it chose, then what they are allowed for."""
-        rows = self.spark.read.parquet(self.part(request["artifact_in"], "artifacts")).where(F.col("request_id") == request["request_id"])
-        names = rows.schema["source"].dataType.fieldNames()
+        stamp = self.spark.read.parquet(self.part(request["artifact_in"], "stamps")).where(F.col("request_id") == request["request_id"])
+        own = stamp.select("definition").first()
+        shared = self.spark.read.parquet(self.part(request["artifact_in"], "artifacts"))
+        rows = shared.where(F.col("definition") == F.lit(own and own["definition"])).drop("definition").crossJoin(F.broadcast(stamp))
+        names = shared.schema["source"].dataType.fieldNames()
         chosen = _chosen(names, fa.parse_selected_columns(F.lit(request["selected_columns"])))
         kept = self.spark.range(1).select(chosen.alias("c")).first()["c"]
         return rows.select(*[F.col("source").getField(c).alias(c) for c in kept], *CONSENT)
@@ -231,21 +236,35 @@ def _in_cohort(names: list[str], wanted: Column) -> Column:
     return F.when(known, F.coalesce(test, F.lit(False))).otherwise(F.lit(True))
 
 
-def _artifacts(approved: DataFrame, catalog: DataFrame, sources: DataFrame) -> DataFrame:
-    """The rows of all artifacts in one join of requests with the rows of their datasets."""
+def _definition(names: list[str]) -> Column:
+    """What an artifact holds, as a key: dataset, columns and cohort. Requests that share it have the same rows."""
+    wanted, cohort = fa.parse_selected_columns(F.col("selected_columns")), fa.parse_cohort_filter(F.col("cohort_filter"))
+    return F.sha2(F.to_json(F.struct("dataset", F.array_sort(_chosen(names, wanted)).alias("chosen"), cohort.alias("cohort"))), 256)
+
+
+def _artifacts(approved: DataFrame, sources: DataFrame) -> DataFrame:
+    """The rows of each different artifact (``definition``) once, in one join of the definitions with the rows of their datasets."""
     names = [c for c in sources.columns if c != "dataset_id"]
     rows = sources.select(F.col("dataset_id").alias("dataset"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("source"))
+    asked = approved.groupBy("definition", "dataset").agg(F.first("selected_columns").alias("selected_columns"), F.first("cohort_filter").alias("cohort_filter"))
+    wanted = asked.select(
+        "definition", "dataset", _chosen(names, fa.parse_selected_columns(F.col("selected_columns"))).alias("_chosen"),
+        fa.parse_cohort_filter(F.col("cohort_filter")).alias("_cohort"),
+    )
+    joined = skew_join(rows, wanted, ["dataset"], "inner").where(_in_cohort(names, F.col("_cohort")))
+    kept = F.struct(*[F.when(F.array_contains("_chosen", c), F.col(f"source.`{c}`")).alias(c) for c in names])
+    return joined.select("definition", kept.alias("source")).sortWithinPartitions("definition")
+
+
+def _stamps(approved: DataFrame, catalog: DataFrame) -> DataFrame:
+    """What the rows of a request's artifact are allowed for, with the key of those rows."""
     known = catalog.select(F.col("dataset_id").alias("dataset"), "consent_group", "access_tier").dropDuplicates(["dataset"])
     until = F.col("acted_at") + F.make_dt_interval(F.lit(fa.EXPORT_DAYS))
-    stamped = skew_join(approved, known, ["dataset"], "left").select(
-        "request_id", "dataset", fa.parse_selected_columns(F.col("selected_columns")).alias("_wanted"), fa.parse_cohort_filter(F.col("cohort_filter")).alias("_cohort"),
-        F.coalesce("consent_group", F.lit("")).alias("_consent_group"), F.col("dataset").alias("_dbgap_accession"), F.coalesce("access_tier", F.lit("")).alias("_access_tier"),
-        F.coalesce("submitter", F.lit("")).alias("_exported_for"), until.cast("string").alias("_access_expires_at"), F.col("request_id").alias("_request_id"), F.col("acted_at").alias("_exported_at"),
-    )
-    joined = skew_join(rows, stamped, ["dataset"], "inner").where(_in_cohort(names, F.col("_cohort")))
-    chosen = _chosen(names, F.col("_wanted"))
-    kept = F.struct(*[F.when(F.array_contains(chosen, c), F.col(f"source.`{c}`")).alias(c) for c in names])
-    return joined.select("request_id", kept.alias("source"), *CONSENT).sortWithinPartitions("request_id")
+    return skew_join(approved, known, ["dataset"], "left").select(
+        "request_id", "definition", F.coalesce("consent_group", F.lit("")).alias("_consent_group"), F.col("dataset").alias("_dbgap_accession"),
+        F.coalesce("access_tier", F.lit("")).alias("_access_tier"), F.coalesce("submitter", F.lit("")).alias("_exported_for"),
+        until.cast("string").alias("_access_expires_at"), F.col("request_id").alias("_request_id"), F.col("acted_at").alias("_exported_at"),
+    ).sortWithinPartitions("request_id")
 
 
 def decide(store: RequestStore, actions: DataFrame, catalog: DataFrame, sources: DataFrame) -> int:
@@ -262,12 +281,13 @@ def decide(store: RequestStore, actions: DataFrame, catalog: DataFrame, sources:
 
     def work(step: Step, requests: DataFrame) -> None:
         own = actions.where(able).select("request_id", "kind", "acted_at", F.col("steward").alias("_by"), F.col("steward_comment").alias("_comment"))
-        meant = step.write("meant", requests.join(own, "request_id"))
+        meant = step.write("meant", requests.join(own, "request_id").withColumn("definition", _definition(names)))
         approved = meant.where(F.col("kind") == "approve")
-        step.write("artifacts", _artifacts(approved, catalog, sources))
-        counts = store.spark.read.parquet(store.part(step.id, "artifacts")).groupBy("request_id").agg(F.count(F.lit(1)).alias("_rows"))
+        artifacts = step.write("artifacts", _artifacts(approved, sources))
+        step.write("stamps", _stamps(approved, catalog))
+        counts = artifacts.groupBy("definition").agg(F.count(F.lit(1)).alias("_rows"))
         stocked = sources.select(F.col("dataset_id").alias("dataset"), F.lit(True).alias("_stocked")).distinct()
-        sized = skew_join(skew_join(meant, counts, ["request_id"]), stocked, ["dataset"])
+        sized = skew_join(skew_join(meant, counts, ["definition"]), stocked, ["dataset"])
         output = F.when((F.col("kind") == "approve") & F.col("_stocked"), fa.artifact_name(F.col("request_id")))
         made = F.when(output.isNotNull(), F.coalesce("_rows", F.lit(0)))
         done = step.write("done", sized.select(*meant.columns, output.alias("_output"), made.alias("_made")))

@@ -146,3 +146,19 @@ def test_artifacts_in_bulk_are_those_of_single_requests(spark, tmp_path, world):
         plain = sorted(map(repr, (tuple(x) for x in want.collect())))
         assert sorted(map(repr, (tuple(x) for x in got.drop(*rs.CONSENT).collect()))) == plain, r
         assert r["row_count"] == len(plain)
+
+
+def test_equal_artifacts_are_written_once_with_stamps_of_their_own(spark, tmp_path, world):
+    catalog, perms, sources = world
+    store = rs.RequestStore(spark, str(tmp_path))
+    rows = [(f"r{i}", who, "a", columns, '{"column":"v","op":"gt","value":"1"}') for i, (who, columns) in enumerate([("eve", '["v","id"]'), ("ann", '[" ID","V"]'), ("bob", '["v"]')])]
+    rs.submit(store, asked(spark, *rows), catalog, perms, NOW)
+    rs.decide(store, acts(spark, *[(r[0], "approve", "boss") for r in rows]), catalog, sources)
+    asked_for = store.requests().orderBy("request_id").collect()
+    assert [r["row_count"] for r in asked_for] == [2, 2, 2]
+    written = spark.read.parquet(store.part(asked_for[0]["artifact_in"], "artifacts"))
+    assert written.count() == 4  # two different artifacts of two rows each, for three requests
+    one, two, three = (store.artifact(r).collect() for r in asked_for)
+    assert sorted((r["v"], r["id"], r["_exported_for"], r["_request_id"]) for r in one) == [(1.5, 1, "eve", "r0"), (16.0, 3, "eve", "r0")]
+    assert sorted((r["id"], r["v"], r["_exported_for"], r["_request_id"]) for r in two) == [(1, 1.5, "ann", "r1"), (3, 16.0, "ann", "r1")]
+    assert sorted((r["v"], r["_exported_for"], r["_dbgap_accession"]) for r in three) == [(1.5, "bob", "a"), (16.0, "bob", "a")]
