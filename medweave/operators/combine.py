@@ -34,6 +34,9 @@ def join_tables(left: DataFrame, right: DataFrame, on: list[str] | str, how: str
     ``how`` is inner, left, right or outer. A NULL in a key matches nothing, unless ``nulls_equal`` says that it matches
     NULL; then as many rows come out as both sides' NULL rows make pairs.
 
+    Rows that occur again on their own side go before the join: pairs are made of different rows only, so that what is joined
+    grows with what comes out, not with the product of the copies on either side.
+
     Spark cannot part a hot key of a right or full outer join, where a row must be seen to match in no piece. So these are
     put together from joins it can part: the matches, or the left join, and once the rows of ``right`` whose key
     ``left`` does not hold.
@@ -46,11 +49,12 @@ def join_tables(left: DataFrame, right: DataFrame, on: list[str] | str, how: str
     key = F.struct(*[F.col(k) for k in keys])
     if not nulls_equal:
         key = F.when(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]), key)
-    l, r = left.withColumn("_k", key), right.select(key.alias("_k"), *keys, *extra)
+    l, r = left.withColumn("_k", key).dropDuplicates(), right.select(key.alias("_k"), *keys, *extra).dropDuplicates()
     joined = skew_join(l, r.drop(*keys), ["_k"], "left" if how in ("left", "outer") else "inner").select(*left.columns, *extra)
     if how in ("right", "outer"):
         joined = joined.unionByName(skew_anti_join(r, l, ["_k"]).select(*keys, *extra), allowMissingColumns=True)
-    return joined.dropDuplicates()
+    # Different rows make different pairs; only unmatched rows of both sides with NULL keys can read alike.
+    return joined.dropDuplicates() if how == "outer" else joined
 
 
 def union_parts(dfs: list[DataFrame]) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from medweave.operators import skew
+from medweave.operators import combine
 from medweave.operators.combine import join_tables
 from medweave.operators.ids import assign_ids, upsert_dim
 from tests.compare import differences, duck
@@ -137,3 +138,18 @@ def test_new_keys_continue_after_known_ones(spark):
     keys = spark.createDataFrame([("b", 9), ("d", 5), ("c", 7)], "k string, seen long")
     got = upsert_dim(known, keys, ["k"], "id", ["seen"], 3)
     assert sorted((r["k"], r["id"], r["is_new"]) for r in got.collect()) == [("a", 1, False), ("b", 2, False), ("c", 4, True), ("d", 3, True)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_copies_on_both_sides_do_not_make_pairs(spark, how, monkeypatch):
+    joined, join = [], combine.skew_join
+    monkeypatch.setattr(combine, "skew_join", lambda *args: joined.append(join(*args)) or joined[-1])
+    left = spark.createDataFrame([(1, "a")] * 200 + [(1, "b"), (2, "c"), (None, None), (None, None)], "k int, v string")
+    right = spark.createDataFrame([(1, 7)] * 300 + [(1, 8), (3, 9), (None, None)], "k int, w int")
+    got = join_tables(left, right, "k", how)
+    pairs = {(1, v, w) for v in "ab" for w in (7, 8)}
+    alone = {(2, "c", None), (None, None, None)} if how in ("left", "outer") else set()
+    late = {(3, None, 9), (None, None, None)} if how in ("right", "outer") else set()
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == pairs | alone | late
+    assert joined[0].count() == len(pairs | alone)
