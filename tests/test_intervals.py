@@ -7,6 +7,7 @@ from itertools import accumulate
 import pytest
 from pyspark.sql import functions as F
 
+from medweave.operators import intervals
 from medweave.operators.intervals import merge_intervals
 from medweave.plans import eras
 
@@ -124,3 +125,11 @@ def test_strict_merge_reads_and_shuffles_once(spark, tmp_path):
     assert plan.count("FileScan parquet") == 1
     # one shuffle for the counts per key and day, one that deals those day rows out by key
     assert plan.count("Exchange ") <= 2 and plan.count("Sort [") == 1
+
+
+def test_eras_are_sorted_in_small_pieces(spark):
+    """What one task sorts is a small share of a core's rows, however well they compress on their way."""
+    rows = spark.range(4000).selectExpr("id % 400 AS k", "date_add(DATE'2020-01-01', CAST(id DIV 400 * 40 AS INT)) AS s", "date_add(DATE'2020-01-02', CAST(id DIV 400 * 40 AS INT)) AS e")
+    merged = intervals.merge_intervals(rows, ["k"], "s", "e")
+    pieces = intervals.PIECES_PER_CORE * spark.sparkContext.defaultParallelism
+    assert merged.count() == 4000 and merged.rdd.getNumPartitions() >= pieces
