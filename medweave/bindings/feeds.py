@@ -114,7 +114,7 @@ def feed(t: Tables, name: str) -> DataFrame:
 
 def given(t: Tables) -> C.ClaimsInput:
     """The feeds as the conversion wants them: read straight from tables (the joined one is written first)."""
-    return C.ClaimsInput(**{name: settle(feed(t, name)) if name == "prescription" else feed(t, name) for name in FEED_SQL})
+    return C.ClaimsInput(**{name: settle(feed(t, name), compression="zstd") if name == "prescription" else feed(t, name) for name in FEED_SQL})
 
 
 _done: dict[tuple[str, str], C.ClaimsOutput] = {}

@@ -17,7 +17,7 @@ from medweave.functions.coverage import payer_plan_periods
 from medweave.functions.vocabulary import HCPCS, ICD9, NDC
 from medweave.operators import ids, keyed, vocab
 from medweave.operators.skew import skew_join
-from medweave.session import settle, together
+from medweave.session import pieces, settle, together
 
 PERSON = "DESYNPUF_ID"
 FEEDS = ("inpatient", "outpatient", "carrier")
@@ -294,7 +294,7 @@ def build_visits(claims: DataFrame, base: int) -> DataFrame:
     """Visit id per visit key, numbered by first use; the feeds share one space of keys."""
     rest = [c for c in CLAIM_ORDER if c not in VISIT_KEY]
     first = keyed.first_seen(claims.select(*VISIT_KEY, *rest), VISIT_KEY, CLAIM_ORDER)
-    return ids.assign_ids(first, "visit_occurrence_id", CLAIM_ORDER, base).select("visit_occurrence_id", *VISIT_KEY)
+    return ids.assign_ids(first, "visit_occurrence_id", CLAIM_ORDER, base, keep=VISIT_KEY)
 
 
 def attach_visit(claims: DataFrame, visits: DataFrame, keys: list[str] = VISIT_KEY) -> DataFrame:
@@ -302,12 +302,14 @@ def attach_visit(claims: DataFrame, visits: DataFrame, keys: list[str] = VISIT_K
 
 
 def resolve_claims(claims: DataFrame, visits: DataFrame, care_site: DataFrame, provider: DataFrame) -> DataFrame:
-    """Narrow claim rows with the ids of their visit, care site and provider, written once."""
-    narrow = claims.select(*CLAIM_ORDER, "feed", "visit_site", F.col("fact_site").alias("care_site_source_value"), F.col("fact_npi").alias("NPI"))
+    """Claims with their codes and the ids of their visit, care site and provider; the codes go along, so they are not looked for again by row."""
+    narrow = claims.select(
+        *CLAIM_ORDER, "feed", "visit_site", F.col("fact_site").alias("care_site_source_value"), F.col("fact_npi").alias("NPI"), "codes"
+    )
     found = attach_visit(narrow, visits)
     found = ids.lookup_dim(found, care_site, ["care_site_source_value"], "care_site_id")
     found = ids.lookup_dim(found, provider, ["NPI"], "provider_id")
-    return settle(found.drop("visit_site", "care_site_source_value", "NPI"))
+    return found.drop("visit_site", "care_site_source_value", "NPI")
 
 
 # --- facts -----------------------------------------------------------------------------------------------
@@ -315,10 +317,10 @@ def resolve_claims(claims: DataFrame, visits: DataFrame, care_site: DataFrame, p
 FACT_ORDER = [*CLAIM_ORDER, "code_order", "target_order"]
 
 
-def build_facts(claims: DataFrame, resolved: DataFrame, mapping: DataFrame) -> DataFrame:
+def build_facts(resolved: DataFrame, mapping: DataFrame) -> DataFrame:
     """Every code of every claim with its targets, written once for all the tables made from it."""
-    coded = explode_codes(claims.select("row_id", "codes").join(resolved, "row_id"), resolved.columns)
-    return settle(vocab.lookup_codes(coded, mapping))
+    coded = explode_codes(resolved, [c for c in resolved.columns if c != "codes"])
+    return settle(vocab.lookup_codes(coded, mapping), compression="zstd")
 
 
 def build_visit_occurrence(facts: DataFrame) -> DataFrame:
@@ -350,6 +352,13 @@ DESTINATIONS = {
 }
 
 
+#: What the fact tables and the costs take from the numbered rows.
+FACT_COLUMNS = [
+    "person_id", "from_dt", "thru_dt", "row_id", "feed", "code", "source_id", "target_id", "provider_id", "visit_occurrence_id",
+    "quantity", "days_supply", "rx_id",
+]
+
+
 def number_facts(facts: DataFrame, rx: DataFrame, at: dict[str, int]) -> dict[str, DataFrame]:
     """The rows of all fact tables with their ids, each table numbered by person, claim and code from one sorted copy.
 
@@ -365,7 +374,7 @@ def number_facts(facts: DataFrame, rx: DataFrame, at: dict[str, int]) -> dict[st
     named = vocab.fact_targets(facts).select(
         "destination", *FACT_ORDER, "feed", "code", "source_id", "target_id", "provider_id", "visit_occurrence_id"
     )
-    numbered = ids.assign_ids_by(union_facts([bought, named]), "destination", "fact_id", FACT_ORDER, {d: at[c] for d, c in DESTINATIONS.items()})
+    numbered = ids.assign_ids_by(union_facts([bought, named]), "destination", "fact_id", FACT_ORDER, {d: at[c] for d, c in DESTINATIONS.items()}, FACT_COLUMNS)
     return {d: numbered.where(F.col("destination") == d).withColumnRenamed("fact_id", f"{c}_id") for d, c in DESTINATIONS.items()}
 
 
@@ -428,7 +437,8 @@ def procedure_costs(procedures: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def build_procedure_cost(procedures: DataFrame, claims: DataFrame, base: int) -> DataFrame:
-    return ids.assign_ids(procedure_costs(procedures, claims), "procedure_cost_id", ["procedure_occurrence_id", "line"], base)
+    costs = procedure_costs(procedures, claims)
+    return ids.assign_ids(costs, "procedure_cost_id", ["procedure_occurrence_id", "line"], base, pieces(costs.sparkSession))
 
 
 def union_facts(dfs: list[DataFrame]) -> DataFrame:
@@ -439,12 +449,12 @@ def union_facts(dfs: list[DataFrame]) -> DataFrame:
 
 
 def prescription_codes(prescriptions: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Prescriptions with the targets of their drug code; unknown codes get concept 0, written once."""
+    """Prescriptions with the targets of their drug code; unknown codes get concept 0. The conversion reads it once, so it is not written."""
     coded = prescriptions.withColumn("vocab", F.lit(NDC)).withColumn("code", F.col("PROD_SRVC_ID"))
     found = vocab.lookup_codes(coded, mapping)
     for c in ("source_id", "target_id"):
         found = found.withColumn(c, F.when(F.col("known"), F.col(c)).otherwise(F.lit(0).cast(mapping.schema[c].dataType)))
-    return settle(found)
+    return found
 
 
 def build_drug_exposure(numbered: DataFrame) -> DataFrame:
@@ -462,7 +472,8 @@ def build_drug_cost(prescriptions: DataFrame, drug_exposure: DataFrame, base: in
     )
     bought = prescriptions.select("row_id", "person_id", "PDE_ID", "SRVC_DT", "PTNT_PAY_AMT", "TOT_RX_CST_AMT")
     costs = bought.join(last, "row_id", "left")
-    numbered = ids.assign_ids(costs, "drug_cost_id", ["person_id", "PDE_ID", "SRVC_DT", "row_id"], base)
+    written = ["drug_exposure_id", "PTNT_PAY_AMT", "TOT_RX_CST_AMT"]
+    numbered = ids.assign_ids(costs, "drug_cost_id", ["person_id", "PDE_ID", "SRVC_DT", "row_id"], base, pieces(costs.sparkSession), written)
     paid = F.col("PTNT_PAY_AMT").try_cast("decimal(18,4)")
     return numbered.select(
         "drug_cost_id", "drug_exposure_id", F.lit(fc.US_DOLLAR).alias("currency_concept_id"), paid.alias("paid_coinsurance"),
@@ -502,7 +513,7 @@ def _tie(person_ids: DataFrame, feed: DataFrame) -> DataFrame:
     The id is taken while the feed is read, where a repeated task sees the same rows in the same order.
     """
     rows = feed.withColumn("row_id", F.monotonically_increasing_id())
-    return settle(attach_claims(person_ids, rows, PERSON).drop(PERSON))
+    return settle(attach_claims(person_ids, rows, PERSON).drop(PERSON), compression="zstd")
 
 
 @dataclass
@@ -582,12 +593,12 @@ def claims_to_cdm(given: ClaimsInput, carried: Carried | None = None) -> ClaimsO
         spark,
         places=places,
         visits=lambda: build_visits(claims, at["visit_occurrence"]),
-        rx=lambda: prescription_codes(scripts, mapping),
         observation_period=lambda: build_observation_period(people, scripts, claims, at["observation_period"]),
         person=lambda: build_person(people, location),
     )
-    (care_site, provider), visits, rx = found["places"], found["visits"], found["rx"]
-    facts = build_facts(claims, resolve_claims(claims, visits, care_site, provider), mapping)
+    (care_site, provider), visits = found["places"], found["visits"]
+    rx = prescription_codes(scripts, mapping)
+    facts = build_facts(resolve_claims(claims, visits, care_site, provider), mapping)
 
     numbered = number_facts(facts, rx, at)
     procedures, drugs = build_procedure_occurrence(numbered["procedure"]), build_drug_exposure(numbered["drug"])

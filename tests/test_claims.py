@@ -243,3 +243,33 @@ def test_concept_map_groups_once(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") <= 5 and plan.count("Exchange ") + plan.count("BroadcastExchange") <= 6
     assert found.count() > 0
+
+
+def test_conversion_writes_only_what_is_read_again(inputs, monkeypatch):
+    """One copy of the coded rows, no copy of the prescriptions' lookup, and a numbered copy in many ranges without the columns of the order."""
+    from medweave import session
+    from medweave.operators import ids
+
+    written, settle = [], session.settle
+
+    def noted(df, *args, **kw):
+        written.append(df)
+        return settle(df, *args, **kw)
+
+    monkeypatch.setattr(C, "settle", noted)
+    monkeypatch.setattr(ids, "settle", noted)
+    C.claims_to_cdm(inputs)
+    assert sum("known" in df.columns for df in written) == 1
+    numbered = [df for df in written if {"destination", "_place"} <= set(df.columns)]
+    assert len(numbered) == 1 and not {"claim_id", "segment", "target_order"} & set(numbered[0].columns)
+    context = numbered[0].sparkSession.sparkContext
+    assert numbered[0].rdd.getNumPartitions() > context.defaultParallelism
+    assert not any("visit_occurrence_id" in df.columns and "codes" not in df.columns and "row_id" in df.columns and "code" not in df.columns for df in written)
+
+
+def test_ids_keep_only_the_columns_asked_for(spark):
+    from medweave.operators.ids import assign_ids
+
+    df = spark.createDataFrame([("b", 1), ("a", 2), ("c", None)], "x string, y int")
+    out = assign_ids(df, "id", ["x"], 5, keep=["y"])
+    assert out.columns == ["id", "y"] and sorted(map(tuple, out.collect())) == [(5, 2), (6, 1), (7, None)]
