@@ -133,3 +133,15 @@ def test_eras_are_sorted_in_small_pieces(spark):
     merged = intervals.merge_intervals(rows, ["k"], "s", "e")
     pieces = intervals.PIECES_PER_CORE * spark.sparkContext.defaultParallelism
     assert merged.count() == 4000 and merged.rdd.getNumPartitions() >= pieces
+
+
+def test_events_are_counted_in_small_pieces(spark):
+    """No task counts a merged share of the events; equal spans, NULL keys and NULL days are counted as groups of their own."""
+    rows = spark.range(4000).selectExpr("IF(id % 400 = 0, NULL, id % 400) AS k", "IF(id % 7 = 0, NULL, date_add(DATE'2020-01-01', CAST(id DIV 800 AS INT))) AS s", "date_add(s, 3) AS e")
+    pieces = intervals.PIECES_PER_CORE * spark.sparkContext.defaultParallelism
+    events = intervals.era_events(rows, ["k"], "s", "e", 30)
+    assert events.columns == ["k", "day", "n", "kind"]
+    assert events.rdd.getNumPartitions() >= 2 * pieces
+    starts = rows.groupBy("k", "s").count().selectExpr("k", "s", "count", "-1")
+    ends = rows.groupBy("k", "e").count().selectExpr("k", "date_add(e, 30)", "count", "1")
+    assert sorted(map(repr, map(tuple, events.collect()))) == sorted(map(repr, map(tuple, starts.union(ends).collect())))
