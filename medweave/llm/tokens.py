@@ -61,13 +61,14 @@ class Encoder:
             yield from (pack(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids) for text in run)
             return
         split = [text.split() for text in run]  # bytes are split at ASCII white space only
-        distinct = set().union(*split)
-        if len(self.known) + len(distinct) > self.words_kept:
+        found = [list(map(self.known.get, words)) for words in split]
+        new = {word for words, ids in zip(split, found, strict=True) if None in ids for word, own in zip(words, ids, strict=True) if own is None}
+        if new and len(self.known) + len(new) > self.words_kept:
             self.known.clear()
-        self._learn(distinct.difference(self.known))
-        known = self.known.__getitem__
-        for words in split:
-            yield b"".join(map(known, words))
+            new = set().union(*split)
+        self._learn(new)
+        for words, ids in zip(split, found, strict=True):
+            yield b"".join(map(self.known.__getitem__, words) if None in ids else ids)
 
     def _learn(self, words: Iterable[bytes]) -> None:
         """Letters with punctuation behind them need only the merges; the rest goes through the whole library."""

@@ -139,3 +139,30 @@ def test_files_of_nothing(spark, none):
     out = new_folder(spark, "tokens")
     token_files.write_tokens(none, out, WORD, end_id=2)
     assert token_files.read_tokens(spark, out).collect() == []
+
+
+def test_ids_of_a_batch_are_counted_together():
+    import numpy as np
+    import pyarrow as pa
+
+    from medweave.llm.token_files import counted
+
+    ids = pa.array([np.array(x, t).tobytes() for x, t in (([2, 5, 5], "<u2"), ([], "<u2"), ([70_000, 2], "<u4"), ([2], "<u2"))], pa.binary())
+    got = counted(ids, pa.array([3, 0, 2, 1], pa.int64()))
+    assert {int(i): int(got[i]) for i in np.flatnonzero(got)} == {2: 3, 5: 2, 70_000: 1}
+    assert not len(np.flatnonzero(counted(ids[:0], pa.array([], pa.int64()))))
+
+
+def test_encoder_looks_at_known_words_once(monkeypatch):
+    """Words that are in the table are not gathered into sets again; a full table is emptied and filled with all words of the run."""
+    from public_tokenizers import path
+
+    from medweave.llm import tokens
+
+    own, texts = tokens.Encoder(path("word_bpe_49k.json"), words_kept=6), [b"one two two", None, b"three one, four", b"five six seven one"]
+    asked, learn = [], own._learn
+    monkeypatch.setattr(own, "_learn", lambda words: (asked.append(sorted(words)), learn(words)))
+    plain = [tokens.pack(own.tokenizer.encode((t or b"").decode(), add_special_tokens=False).ids) for t in texts]
+    for run_bytes in (1, 1, 1000):
+        assert list(own.encode(texts, run_bytes)) == plain
+    assert asked[0] == [b"one", b"two"] and len(own.known) <= 10
