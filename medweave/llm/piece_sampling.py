@@ -4,8 +4,8 @@ A segmentation is drawn with probability proportional to exp(weight * sum of pie
 over all paths of the piece lattice, backward sampling draws the last piece, then the one before, to the start.
 The model's pieces hold their space marks in front only (others are an error), so that the lattice of a text falls
 into those of its words with the spaces before them; a word's filtered lattice is kept by its worker in a table of bounded
-size. New words of equal length are filtered forward together, position by position, substrings being looked up by 64-bit rolling
-hashes in a sorted table of the pieces. Random numbers are a hash of the seed, the row key, the word's place and the step: a row's
+size. New words are filtered forward together, position by position, whatever their lengths; substrings are looked up by 64-bit rolling
+hashes in a sorted table of the pieces, and only those that are pieces are gone on with. A draw starts at its node's first edge. Random numbers are a hash of the seed, the row key, the word's place and the step: a row's
 segmentation does not depend on partitions, batches or repeated runs. Characters the model lacks become UTF-8 bytes, and so
 does a literal space mark (U+2581), which keeps decoding lossless.
 
@@ -27,10 +27,10 @@ from medweave.llm.near_dedup import mixed
 MARK, BARRED = "▁", "￾"  # the space mark; what stands for a literal one in the lattice, a noncharacter no piece holds
 WEIGHT = 0.001  # scores of this kind of model are ranks; at 0 all segmentations are equally likely
 KEPT_EDGES, KEPT_WORD = 4_000_000, 200  # edges a worker keeps before it starts again; longer words are not kept
-TOGETHER, LONGEST_TOGETHER = 1 << 13, 64  # words that are filtered at a time, and their greatest length; longer ones go one by one
+TOGETHER, LONGEST_TOGETHER = 1 << 17, 64  # characters that are filtered at a time, and a word's greatest length; longer ones go one by one
 BATCH_BYTES = 1 << 21
 SEED = 17
-LEADING = 20  # bits of a hash that are looked at first, as most substrings are no piece
+LEADING = 20  # bits of a hash that say where to look; most substrings are no piece, and nothing has theirs
 BASE = 0x9E3779B97F4A7C15  # of the rolling hash, modulo 2^64
 
 
@@ -61,25 +61,29 @@ class Lattices:
         self.clear()
 
     def table(self) -> None:
-        """The pieces by hash: sorted hashes, the id and score of each, and which leading bits occur. ASCII the model lacks is one byte."""
+        """The pieces by hash: sorted hashes, the id and score of each, and where each leading bits begin. ASCII the model lacks is one byte."""
         import numpy as np
 
         lacking = {c: (self.byte_ids[ord(c)], self.unknown) for c in map(chr, range(128)) if c != " " and c not in self.pieces}
         looked_up = self.pieces | lacking
-        self.letters = {p for p in looked_up if len(p) == 1}
-        hashes = np.array([rolled(p) for p in looked_up], np.uint64)
+        self.letters = np.zeros(0x110000, bool)
+        self.letters[[ord(p) for p in looked_up if len(p) == 1]] = True
+        hashes = np.array([rolled(p) for p in looked_up], np.uint64) * np.uint64(BASE)  # once more, for leading bits of single characters
         order = np.argsort(hashes)
         ids, scores = zip(*looked_up.values(), strict=True)
-        self.leading = np.zeros(1 << LEADING, bool)
-        self.leading[hashes >> np.uint64(64 - LEADING)] = True
         self.hashes, self.ids, self.scores = hashes[order], np.array(ids, np.int32)[order], np.array(scores)[order]
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two pieces share a hash")
-        self.powers = np.array([pow(BASE, k, 1 << 64) for k in range(LONGEST_TOGETHER + 1)], np.uint64)
+        counts = np.bincount((hashes >> np.uint64(64 - LEADING)).astype(np.int64), minlength=1 << LEADING)
+        self.crowd = int(counts.max())  # hashes that share their leading bits, at most
+        self.leading = np.where(counts > 0, np.cumsum(counts) - counts, -1).astype(np.int32)
+        steps = np.full((2, TOGETHER + LONGEST_TOGETHER + 1), BASE, np.uint64)
+        steps[1], steps[:, 0] = pow(BASE, -1, 1 << 64), 1
+        self.powers, self.inverses = np.cumprod(steps, 1)  # modulo 2^64
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.cumulative, self.piece, self.back = array("d"), array("i"), array("i")
+        self.cumulative, self.piece, self.back, self.first = array("d"), array("i"), array("i"), array("i")
         self.nodes = 0
 
     def node(self) -> int:
@@ -89,6 +93,7 @@ class Lattices:
     def edges(self, node: int, found: list[tuple[float, int, int]]) -> None:
         """Edges (probability, piece, node before) of ``node``, which is the newest; -1 is the start."""
         so_far = 0.0
+        self.first.append(len(self.piece))
         for p, piece, back in found:
             so_far += p
             self.cumulative.append(node + so_far)
@@ -123,56 +128,104 @@ class Lattices:
             at.append(node)
         return at[-1]
 
-    def add_equal(self, texts: list[str]) -> list[int]:
-        """``add`` for many texts of one length, each character of which is a piece or one byte: nodes go by position, then by text."""
+    def look_up(self, values):
+        """Where in the table each hash is; -1 where it is not."""
         import numpy as np
 
-        many, n, base = len(texts), len(texts[0]), self.nodes
-        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(many, n).T.astype(np.uint64)
-        prefix, total, column = np.zeros((n + 1, many), np.uint64), np.zeros((n + 1, many)), np.arange(many)
-        for end in range(1, n + 1):
-            prefix[end] = prefix[end - 1] * np.uint64(BASE) + codes[end - 1]
-            begins = np.arange(max(0, end - self.longest), end)
-            value = prefix[end] - prefix[begins] * self.powers[end - begins][:, None]
-            hit = self.leading[value >> np.uint64(64 - LEADING)]
-            at = np.zeros(value.shape, np.int64)
-            at[hit] = np.minimum(np.searchsorted(self.hashes, value[hit]), len(self.hashes) - 1)
-            hit &= self.hashes[at] == value
-            ways = np.where(hit, total[begins] + self.scores[at], -np.inf)
-            most = ways.max(0)
-            shares = np.exp(ways - most)
-            whole = shares.sum(0)
-            total[end] = most + np.log(whole)
-            upto = np.cumsum(shares / whole, 0)
-            upto[-1] = 1.0  # the last character by itself is always a way
-            node, of = base + (end - 1) * many + column, hit.T
-            back = np.where(begins[:, None] > 0, base + (begins[:, None] - 1) * many + column, -1)
-            self.cumulative.frombytes((upto + node).T[of].tobytes())
-            self.piece.frombytes(self.ids[at].T[of].tobytes())
-            self.back.frombytes(back.T[of].astype(np.int32).tobytes())
-        self.nodes += n * many
-        return (base + (n - 1) * many + column).tolist()
-
-    def learn(self, words: Iterable[str]) -> dict[str, int]:
+        at = self.leading[values >> np.uint64(64 - LEADING)]
+        left = np.flatnonzero(at >= 0)
+        found = np.full(len(values), -1, np.int32)
+        for _ in range(self.crowd):
+            hit = self.hashes[at[left]] == values[left]
+            found[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < len(self.hashes)]
+        return found
+
+    def add_together(self, codes, sizes):
+        """``add`` for many words, their characters one after the other, each of which is a piece or one byte: nodes go by position, then by word."""
+        import numpy as np
+
+        many, begins = len(codes), np.cumsum(sizes) - sizes
+        place = np.arange(many) - np.repeat(begins, sizes)
+        sums = np.zeros(many + 1, np.uint64)
+        np.cumsum(codes * self.inverses[:many], out=sums[1:])
+        order = np.argsort(place.astype(np.uint8), kind="stable")  # of the nodes; those of one position stand together
+        rank = np.empty(many + 1, np.int32)
+        rank[order] = np.arange(many)
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(place))])
+        edges = []
+        for length in range(min(self.longest, len(bounds) - 1), 0, -1):  # the earliest begin comes first
+            node = np.arange(bounds[length - 1], many)
+            end = order[node]
+            found = self.look_up((sums[end + 1] - sums[end + 1 - length]) * self.powers[end + 1])
+            hit = np.flatnonzero(found >= 0)
+            node, end = node[hit], end[hit]
+            back = np.where(node < bounds[length], -1, rank[end - length])
+            edges.append((node, found[hit], back))
+        counts = np.zeros(many, np.int64)
+        for node, _, _ in edges:
+            counts[node] += 1
+        first = np.concatenate([[0], np.cumsum(counts)])
+        free, entry, back = first[:-1].copy(), np.empty(first[-1], np.int32), np.empty(first[-1], np.int32)
+        for node, found, before in edges:
+            entry[free[node]], back[free[node]] = found, before
+            free[node] += 1
+        scores, upto, total = self.scores[entry], np.empty(first[-1]), np.zeros(many + 1)  # the last total is the start's
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            own, start, n = slice(first[lo], first[hi]), first[lo:hi] - first[lo], counts[lo:hi]
+            ways = total[back[own]] + scores[own]
+            most = np.maximum.reduceat(ways, start)
+            shares = np.exp(ways - np.repeat(most, n))
+            whole = np.add.reduceat(shares, start)
+            total[lo:hi] = most + np.log(whole)
+            shares /= np.repeat(whole, n)
+            sums_of = np.cumsum(shares)
+            upto[own] = np.minimum(sums_of - np.repeat(sums_of[start] - shares[start], n), 1.0)
+        upto[first[1:] - 1] = 1.0  # the last character by itself is always a way
+        base = self.nodes
+        self.first.frombytes((first[:-1] + len(self.piece)).astype(np.int32).tobytes())
+        self.cumulative.frombytes((np.repeat(np.arange(base, base + many), counts) + upto).tobytes())
+        self.piece.frombytes(self.ids[entry].tobytes())
+        self.back.frombytes(np.where(back >= 0, back + base, -1).astype(np.int32).tobytes())
+        self.nodes += many
+        return base + rank[begins + sizes - 1]
+
+    def learn(self, words: list[str]) -> list[int]:
         """The end nodes of distinct new words."""
-        made, by_length = {}, {}
-        for word in words:
-            text = word.replace(MARK, BARRED).replace(" ", MARK)
-            if len(text) <= LONGEST_TOGETHER and self.letters.issuperset(text):
-                by_length.setdefault(len(text), []).append((word, text))
-            else:
-                made[word] = self.add(word)
-        for own in by_length.values():
-            for k in range(0, len(own), TOGETHER):
-                some, texts = zip(*own[k : k + TOGETHER], strict=True)
-                made.update(zip(some, self.add_equal(list(texts)), strict=True))
-        return made
+        import numpy as np
+
+        if not words:
+            return []
+        text = "".join(words).replace(MARK, BARRED).replace(" ", MARK)
+        codes, sizes = np.frombuffer(text.encode("utf-32-le"), np.uint32), np.fromiter(map(len, words), np.int64, len(words))
+        begins = np.cumsum(sizes) - sizes
+        together = np.logical_and.reduceat(self.letters[codes], begins) & (sizes <= LONGEST_TOGETHER)
+        ends = np.empty(len(words), np.int64)
+        for k in np.flatnonzero(~together).tolist():
+            ends[k] = self.add(words[k])
+        codes, sizes = codes[np.repeat(together, sizes)].astype(np.uint64), sizes[together]
+        made, at, upto = [], 0, np.cumsum(sizes)
+        while at < len(sizes):
+            before = upto[at] - sizes[at]
+            to = max(at + 1, int(np.searchsorted(upto, before + TOGETHER, side="right")))
+            made.append(self.add_together(codes[before : upto[to - 1]], sizes[at:to]))
+            at = to
+        if made:
+            ends[together] = np.concatenate(made)
+        return ends.tolist()
 
     def ends(self, words: list[str]) -> list[int]:
         known = self.known
-        made = self.learn(dict.fromkeys(w for w in words if w not in known))
-        known.update((w, node) for w, node in made.items() if len(w) <= KEPT_WORD)
-        return [known[w] if w in known else made[w] for w in words]
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        made = dict(zip(new, self.learn(new), strict=True))
+        long = {w: node for w, node in made.items() if len(w) > KEPT_WORD}
+        known.update(made)
+        found = list(map(known.__getitem__, words))
+        for word in long:
+            del known[word]
+        return found
 
 
 def rolled(text: str) -> int:
@@ -207,11 +260,16 @@ def sample(own: Lattices, keys: list[int], texts: list[str]) -> list:
     # a word's random numbers start from its row's key and its place in the row
     place = np.arange(len(node)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     start = mixed(np.repeat(np.array(keys, np.uint64), sizes) + mixed(place.astype(np.uint64)))
-    cumulative, piece, back = (np.frombuffer(a, t) for a, t in ((own.cumulative, np.float64), (own.piece, np.int32), (own.back, np.int32))) if len(own.piece) else (None,) * 3
+    arrays = ((own.cumulative, np.float64), (own.piece, np.int32), (own.back, np.int32), (own.first, np.int32))
+    cumulative, piece, back, first = (np.frombuffer(a, t) for a, t in arrays) if own.nodes else (None,) * 4
     active, step, drawn = np.arange(len(node)), 0, []
     while len(active):
         u = (mixed(start[active] + np.uint64(step)) >> np.uint64(34)).astype(np.float64) / (1 << 30)
-        edge = np.searchsorted(cumulative, node[active] + u, side="right")
+        upto, edge = node[active] + u, first[node[active]]
+        late = np.flatnonzero(cumulative[edge] <= upto)
+        while len(late):  # a node's last edge is above any draw
+            edge[late] += 1
+            late = late[cumulative[edge[late]] <= upto[late]]
         drawn.append((active, piece[edge]))
         node[active] = back[edge]
         active, step = active[back[edge] >= 0], step + 1

@@ -233,6 +233,40 @@ def test_words_filtered_together_have_all_their_segmentations(weight):
     assert own.ends(words) == ends  # kept, not filtered again
 
 
+def test_words_of_all_lengths_are_filtered_in_one_go(monkeypatch):
+    """Batches go by characters, not by the length of words; every node knows its first edge, and the draws are those of a search over all."""
+    own, one = (piece_sampling.Lattices(PIECE, 0.0002) for _ in range(2))
+    calls, together = [], own.add_together
+    monkeypatch.setattr(own, "add_together", lambda codes, sizes: calls.append(len(sizes)) or together(codes, sizes))
+    words = [" " + "thenéabc"[k % 7 :] * (k // 8) + "x" * (k % 5) + f"w{k}" for k in range(200)]
+    distinct = {w for w in words if len(w) <= piece_sampling.LONGEST_TOGETHER}
+    node = own.ends(words)
+    assert calls == [len(distinct)]
+    cumulative = np.array(own.cumulative)
+    assert len(own.first) == own.nodes and (cumulative[np.array(own.first)[1:] - 1] == np.arange(1, own.nodes)).all()  # where the one before ends
+    for word, end in [(w, e) for w, e in zip(words, node, strict=True) if len(w) <= 12]:
+        got, alone = lattice_paths(own, end), lattice_paths(one, one.add(word))
+        assert all(abs(alone.get(k, 0) - got.get(k, 0)) < 1e-9 for k in alone | got)
+
+    def searched(key, text):
+        """Pieces by bisection over the edges of all nodes."""
+        ids = []
+        for place, word in enumerate(piece_sampling.units(text)):
+            at, step, drawn = own.ends([word])[0], 0, []
+            start = piece_sampling.mixed(np.array([key], np.uint64) + piece_sampling.mixed(np.array([place], np.uint64)))
+            while at >= 0:
+                u = float(piece_sampling.mixed(start + np.uint64(step))[0] >> np.uint64(34)) / (1 << 30)
+                edge = np.searchsorted(np.array(own.cumulative), at + u, side="right")
+                drawn.append(own.piece[edge])
+                at, step = own.back[edge], step + 1
+            ids += drawn[::-1]
+        return ids
+
+    texts = ["".join(words[k : k + 6])[1:] for k in range(0, 60, 6)]
+    keys = [3 * k + 1 for k in range(len(texts))]
+    assert [i.tolist() for i in piece_sampling.sample(own, keys, texts)] == [searched(k, t) for k, t in zip(keys, texts, strict=True)]
+
+
 def test_draws_follow_the_lattice():
     """Shares of each segmentation of a word are those of the exponential of its summed scores."""
     import sentencepiece
