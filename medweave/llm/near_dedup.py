@@ -10,7 +10,9 @@ Equal sets are one class before anything is paired. Every class is first compare
 it shares a bucket with, then, as long as it lies outside its bucket's largest component, with one class of that in
 each turn; a large group of near copies so costs a few comparisons per class, not one per pair. All pairs that share a band and lie in different
 components are compared in the end, whatever a bucket's size,
-but for those whose counts of rare shingles show that they cannot be similar enough.
+but for those whose counts of rare shingles, or whose sets' parities, show that they cannot be similar enough: a parity
+is one bit per group of shingles, whether a set holds an odd number of the group, and each bit in which two sets differ
+is a shingle that only one of them holds.
 
 A NULL text is empty. A row without a doc_id is linked with nothing and stays. Rows that repeat a doc_id and a text
 are one document; two texts under one doc_id are looked at each for itself, and the document goes if one of them does.
@@ -30,6 +32,7 @@ PIVOT_TURNS = 1  # comparisons with a pivot per bucket before all pairs between
 BANDS = 2 * PERMUTATIONS // ROWS
 WORDS_KEPT = 500_000  # word hashes a Python worker remembers before it starts again
 BATCH_WORDS = 1 << 19  # words that are hashed at a time
+PARITIES = [f"p{k}" for k in range(8)]  # columns of 64 bits: sets that differ in a few hundred shingles are told apart by them
 SKETCH = "doc_id long, n_shingles long, high long, low long, bands array<long>"
 
 
@@ -212,14 +215,24 @@ def shared_by_few(opened: DataFrame, sets: DataFrame) -> DataFrame:
     return holders.where("_n <= 3").groupBy("a", third.alias("c"), "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def parities(opened: DataFrame, sets: DataFrame) -> DataFrame:
+    """Per class of ``opened`` 64 bits in each column of ``PARITIES``, the parity of how many of its shingles fall on the bit."""
+    held = sets.join(opened.select("rep").distinct(), "rep", "left_semi").select("rep", F.explode("shingles").alias("s"))
+    held = held.select("rep", F.pmod("s", F.lit(len(PARITIES))).alias("_at"), F.expr("shiftleft(1L, CAST((s >> 8) & 63 AS INT))").alias("_bit"))
+    return held.groupBy("rep").agg(*[F.bit_xor(F.when(F.col("_at") == k, F.col("_bit")).otherwise(F.lit(0).cast("long"))).alias(c) for k, c in enumerate(PARITIES)])
+
+
 def class_sizes(opened: DataFrame, sets: DataFrame, few: DataFrame) -> DataFrame:
-    """Per class ``rep`` its component ``label``, ``size`` of its set and ``common``, the shingles that more than three classes hold."""
+    """Per class ``rep`` its component ``label``, ``size`` of its set, ``common``, the shingles that more than three classes hold, and its ``PARITIES``.
+
+    A doc_id with two sets has no parities (NULL).
+    """
     rare = few.select(F.explode(F.array_distinct(F.array("a", "c", "b"))).alias("rep"), "shared").groupBy("rep").agg(F.sum("shared").alias("_rare"))
     # a doc_id with two texts has two sets, whose rare shingles are counted together: bounds that hold for both
     sizes = sets.select("rep", F.size("shingles").cast("long").alias("_n")).groupBy("rep").agg(F.min("_n").alias("size"), F.max("_n").alias("_most"), F.count(F.lit(1)).alias("_sets"))
-    own = opened.select("rep", "label").distinct().join(sizes, "rep").join(rare, "rep", "left")
+    own = opened.select("rep", "label").distinct().join(sizes, "rep").join(rare, "rep", "left").join(parities(opened, sets), "rep", "left")
     common = F.when(F.col("_sets") == 1, F.col("size") - F.coalesce("_rare", F.lit(0))).otherwise(F.col("_most"))
-    return own.select("rep", "label", "size", common.alias("common"))
+    return own.select("rep", "label", "size", common.alias("common"), *[F.when(F.col("_sets") == 1, F.col(c)).alias(c) for c in PARITIES])
 
 
 def may_link(x: str, y: str, percent: int, shared: Column) -> Column:
@@ -228,12 +241,18 @@ def may_link(x: str, y: str, percent: int, shared: Column) -> Column:
     return (F.col(f"{x}.label") != F.col(f"{y}.label")) & (100 * most >= percent * (F.col(f"{x}.size") + F.col(f"{y}.size") - most))
 
 
+def may_equal(x: str, y: str, percent: int) -> Column:
+    """Whether two classes can be similar enough by their parities: sets of ``n`` shingles together may differ in ``n * (100 - percent) / (100 + percent)``."""
+    differ = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in PARITIES), F.lit(0))
+    return F.coalesce((100 + percent) * differ <= (100 - percent) * (F.col(f"{x}.size") + F.col(f"{y}.size")), F.lit(True))
+
+
 def across(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs of a bucket in different components that can be similar enough.
 
     A shingle that at most three open classes hold is rare. Two classes share at most the smaller one's common shingles
     and the rare ones they hold both; pairs with rare ones in common are listed by those, all others meet in their
-    buckets, where the bound lets only few of them through.
+    buckets, where that bound and their parities let only few of them through.
     """
     few = settle(shared_by_few(opened, sets))
     sizes = settle(class_sizes(opened, sets, few))
@@ -244,7 +263,7 @@ def across(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     marked = settle(opened.select("key", "rep").join(sizes, "rep"))
     outside = marked.join(mains(opened), "key").where(F.col("label") != F.col("_main")).drop("_main")
     x, y = marked.alias("x"), outside.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & may_link("x", "y", percent, F.lit(0)))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & may_link("x", "y", percent, F.lit(0)) & may_equal("x", "y", percent))
     return met.select(*ordered("x.rep", "y.rep")).unionByName(of_rare).distinct()
 
 

@@ -104,6 +104,20 @@ def test_near_two_texts_of_an_id(spark):
     assert {tuple(r) for r in near_dedup.confirmed(pairs, sets, 80).collect()} == {(1, 2)}
 
 
+def test_near_group_proposes_few_pairs(spark):
+    """Classes of one bucket that lack different shingles of a common text: only pairs that can be similar enough are proposed, and all that are."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(1 << 62), 1 << 62, 200)
+    held = {k: set(np.delete(base, rng.choice(200, 30, replace=False)).tolist()) for k in range(60)}
+    held |= {60 + k: set(sorted(held[k])[3:]) for k in range(5)}  # much like one of them
+    sets = spark.createDataFrame([(k, sorted(s)) for k, s in held.items()], "rep long, shingles array<long>")
+    opened = spark.createDataFrame([(7, k, k) for k in held], "key long, rep long, label long")
+    got = {tuple(r) for r in near_dedup.across(opened, sets, 80).collect()}
+    alike = {(a, b) for a in held for b in held if a < b and 100 * len(held[a] & held[b]) >= 80 * len(held[a] | held[b])}
+    # the bucket's main component is one of the classes; its pairs are met from the other side
+    assert len(alike) >= 5 and alike <= got and len(got) < 300
+
+
 def brute_nearest(rows, k):
     rows = [r for r in rows if r[0] is not None and r[1] and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])]
     if not rows:
