@@ -15,6 +15,8 @@ from medweave.session import new_folder
 # White space in the contracts of these operators: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 
+BATCH_ROWS = 1000  # whole texts that a Python worker of the pipeline gets at a time
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 SHIPPED: dict[str, str] = {}
@@ -54,6 +56,13 @@ def ship(spark: SparkSession) -> None:
     SHIPPED["to"] = spark.sparkContext.applicationId
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python at most ``BATCH_ROWS`` at a time: more whole texts at once take tens of MB in the JVM and again in the worker."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:  # 0 and less are no limit
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 def settle_texts(df: DataFrame, row_group: int = 16 << 20) -> DataFrame:
     """``session.settle`` for rows with whole texts: small row groups, since each writer holds one in memory."""
     path = new_folder(df.sparkSession, "texts")

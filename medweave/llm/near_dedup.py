@@ -30,7 +30,7 @@ from medweave.session import settle
 PERMUTATIONS, ROWS = 32, 3
 PIVOT_TURNS = 1  # comparisons with a pivot per bucket before all pairs between components
 BANDS = 2 * PERMUTATIONS // ROWS
-WORDS_KEPT = 500_000  # word hashes a Python worker remembers before it starts again
+WORDS_KEPT = 200_000  # word hashes a Python worker remembers before it starts again
 BATCH_WORDS = 1 << 19  # words that are hashed at a time
 PARITIES = [f"p{k}" for k in range(8)]  # columns of 64 bits: sets that differ in a few hundred shingles are told apart by them
 SKETCH = "doc_id long, n_shingles long, high long, low long, bands array<long>"

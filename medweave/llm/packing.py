@@ -18,16 +18,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from medweave.llm.common import query, table
+from medweave.llm.tokens import WORDS_KEPT
 from medweave.session import settle
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, nth long"
 
 
-def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = True) -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = True, words_kept: int = WORDS_KEPT) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text): ids of the whole text and ``end_id``, longer ones cut every ``capacity`` ids.
 
     ``nth`` counts the pieces of one length in the partition ``part``: settle the result before using both.
-    ``ids`` are unsigned little-endian 32-bit integers (NULL unless ``keep_ids``).
+    ``ids`` are unsigned little-endian 32-bit integers (NULL unless ``keep_ids``). A worker remembers the ids of ``words_kept`` words.
     """
 
     def pieces(batches: Iterator) -> Iterator:
@@ -35,7 +36,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
 
         from medweave.llm.tokens import encoder, pack
 
-        encode, end, part, seen = encoder(tokenizer).encode, pack([end_id]), TaskContext.get().partitionId(), {}
+        encode, end, part, seen = encoder(tokenizer, words_kept).encode, pack([end_id]), TaskContext.get().partitionId(), {}
         names = [c.split()[0] for c in PIECES.split(", ")]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
         for batch in batches:
@@ -141,9 +142,11 @@ def assign(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = True) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = True, words_kept: int = WORDS_KEPT
+) -> DataFrame:
     """Every piece of every document with its sequence and place in it."""
-    return assign(settle(cut(docs, tokenizer, capacity, end_id, keep_ids)), capacity)
+    return assign(settle(cut(docs, tokenizer, capacity, end_id, keep_ids, words_kept)), capacity)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

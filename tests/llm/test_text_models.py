@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from medweave.llm import language_id, line_dedup, near_dedup, packing, piece_sampling, quality_rules, token_counts, vp_tree
+from medweave.llm.common import BATCH_ROWS, small_batches
 from medweave.llm.queries import QUERIES
 from medweave.llm.tokens import library
 from medweave.session import settle
@@ -334,6 +335,31 @@ def test_language_not_known(spark):
     assert one.predict(fr)[1] >= 0.5 > one.predict(noise(50))[1] and one.predict(texts[0])[0] == "fr"
 
 
+def test_pipeline_hands_out_small_batches(spark):
+    """Python workers get few whole texts at a time, and an encoder with little room gives the same pieces."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    try:
+        for wide in ("10000", "0"):
+            spark.conf.set(setting, wide)
+            corpus_pipeline.without_near_copies(spark, documents(spark).limit(3), FOLDER)
+            assert max(r["n"] for r in spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long").collect()) <= BATCH_ROWS
+        spark.conf.set(setting, "7")
+        small_batches(spark)
+        assert spark.conf.get(setting) == "7"  # what is less stays
+    finally:
+        spark.conf.set(setting, before)
+    rows = lambda kept: {tuple(r) for r in packing.cut(documents(spark), WORD, keep_ids=False, words_kept=kept).drop("part", "nth").collect()}
+    assert rows(50) == rows(1_000_000)
+
+
 def test_pipeline(spark):
     docs, kept = documents(spark), []
     for name, stage in corpus_pipeline.STAGES:
