@@ -1,7 +1,7 @@
 """Key and NOT NULL rules of many tables as one report.
 
-Every table is scanned once: its key, its references and its missing values come out of one explode as
-(space, key, rule), a space being the table whose key a value belongs to, and are counted by these three with a map-side
+Every table is scanned once: its key, its references and its missing values are turned from columns into rows
+(space, key, rule), a space being the number of the table whose key a value belongs to, and are counted by these three with a map-side
 combine, so a value in every row (concept 0) is one row per task. The counts of one value meet by (space, key), where
 it shows whether the space's own table holds it: a second shuffle, of distinct values only, for all references to
 all tables at once.
@@ -12,7 +12,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from medweave.session import pieces
 
 PRIMARY, FOREIGN, NOT_NULL = "primary key", "foreign key", "not null"
 REPORT = "table string, rule string, columns string, parent string, rows long, keys long"
@@ -51,20 +53,21 @@ def _numbered(rules: dict[str, TableRules], present: set[str]) -> list[tuple[str
     return out
 
 
-def _entries(df: DataFrame, table: str, numbered: list[tuple[int, str, list[str], str | None]]) -> DataFrame:
-    """``space, key, rule`` of one table: one row per key and non-NULL reference, and one per missing value."""
-    present, items = set(df.columns), []
-    item = lambda space, key, rule: F.struct(space.alias("space"), key.alias("key"), F.lit(rule).alias("rule"))
-    nothing = F.lit(None).cast("string")
-    for number, kind, columns, parent in numbered:
+def _entries(df: DataFrame, numbered: list[tuple[int, str, list[str], str | None]]) -> DataFrame:
+    """``rule, key`` of one table: one row per key and non-NULL reference, and one per missing value (with an empty key)."""
+    present, items, primary = set(df.columns), {}, []
+    for number, kind, columns, _ in numbered:
         if kind == NOT_NULL:
             missing = F.col(f"`{columns[0]}`").isNull() if columns[0] in present else F.lit(True)
-            items.append(F.when(missing, item(nothing, nothing, number)))
+            items[str(number)] = F.when(missing, F.lit(""))
         elif all(c in present for c in columns):
-            key = _text(columns)
-            # A key with a NULL part belongs to no value: it is counted by its rule alone.
-            items.append(item(F.lit(table), key, number) if kind == PRIMARY else F.when(key.isNotNull(), item(F.lit(parent), key, number)))
-    return df.select(F.explode(F.array_compact(F.array(*items))).alias("e")).select("e.*")
+            items[str(number)] = _text(columns)
+            primary += [number] if kind == PRIMARY else []
+    if not items:
+        return df.select(F.lit(0).alias("rule"), F.lit("").alias("key")).where("false")
+    turned = df.select(*[item.alias(rule) for rule, item in items.items()]).unpivot([], list(items), "rule", "key")
+    # A key with a NULL part belongs to no value: it is counted by its rule alone.
+    return turned.select(F.col("rule").cast("int").alias("rule"), "key").where(F.col("key").isNotNull() | F.col("rule").isin(primary))
 
 
 def key_report(tables: dict[str, DataFrame], rules: dict[str, TableRules]) -> DataFrame:
@@ -75,22 +78,20 @@ def key_report(tables: dict[str, DataFrame], rules: dict[str, TableRules]) -> Da
     """
     spark = next(iter(tables.values())).sparkSession
     found = _numbered(rules, set(tables))
-    primary = [i for i, r in enumerate(found) if r[1] == PRIMARY]
     by_table: dict[str, list[tuple[int, str, list[str], str | None]]] = {}
     for number, (table, kind, columns, parent) in enumerate(found):
         by_table.setdefault(table, []).append((number, kind, columns, parent))
-    entries = reduce(DataFrame.unionByName, [_entries(tables[t], t, own) for t, own in by_table.items()])
-    counted = entries.groupBy("space", "key", "rule").agg(F.count(F.lit(1)).alias("n"))
-
-    is_key = F.col("rule").isin(primary)
-    values = counted.groupBy("space", "key").agg(
-        F.bool_or(is_key).alias("held"), F.collect_list(F.struct("rule", "n")).alias("uses")  # at most one per rule
-    )
-    each = values.select("held", F.col("key").isNull().alias("missing"), F.explode("uses").alias("u")).select("held", "missing", "u.*")
-    broken = each.where(F.col("missing") | F.when(is_key, F.col("n") > 1).otherwise(~F.col("held")))
-    required = [i for i, r in enumerate(found) if r[1] == NOT_NULL]
-    keys = F.when(F.col("rule").isin(required), 0).otherwise(1)
-    summed = broken.groupBy("rule").agg(F.sum("n").alias("rows"), F.sum(keys).alias("keys"))
+    spaces = {t: i for i, t in enumerate(by_table)}
+    space_of = F.array(*[F.lit(spaces.get(p if kind == FOREIGN else t, -1) if kind != NOT_NULL else -1) for t, kind, _, p in found])
+    entries = reduce(DataFrame.unionByName, [_entries(tables[t], own) for t, own in by_table.items()])
+    counted = entries.withColumn("space", space_of[F.col("rule")]).groupBy("space", "key", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+    is_key, is_required = (F.col("rule").isin([i for i, r in enumerate(found) if r[1] == kind]) for kind in (PRIMARY, NOT_NULL))
+    # The rows of one value, at most one per rule, are told apart by a number: sorting compares texts only where it is equal.
+    dealt = counted.repartition(pieces(spark), "space", "key").withColumn("value", F.xxhash64("space", "key"))
+    each = dealt.withColumn("held", F.bool_or(is_key).over(Window.partitionBy("value", "space", "key")))
+    broken = each.where(is_required | F.col("key").isNull() | F.when(is_key, F.col("n") > 1).otherwise(~F.col("held")))
+    summed = broken.groupBy("rule").agg(F.sum("n").alias("rows"), F.sum(F.when(is_required, 0).otherwise(1)).alias("keys"))
 
     listed = spark.createDataFrame([(i, t, kind, ",".join(c), p) for i, (t, kind, c, p) in enumerate(found)], "rule int, table string, kind string, columns string, parent string")
     none = F.lit(0).cast("long")

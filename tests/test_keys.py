@@ -6,6 +6,7 @@ from collections import Counter
 
 from medweave import schemas as S
 from medweave.operators.keys import FOREIGN, NOT_NULL, PRIMARY, TableRules, key_report
+from medweave.session import pieces
 
 
 def brute(data, rules):
@@ -63,3 +64,20 @@ def test_plan_reads_each_table_once(spark, tmp_path):
 def test_all_rules_are_there():
     rules = S.cdm_rules()
     assert sum(bool(r.key) for r in rules.values()) == 36 and sum(len(r.references) for r in rules.values()) == 134
+
+
+def test_nothing_is_gathered_per_value(spark):
+    """Lists per value made the aggregation sort and spill; the rows of a value are now sorted once, in pieces that are not merged."""
+    frames = {t: spark.createDataFrame([], S.cdm_schema(t)) for t in ("person", "location", "death")}
+    plan = key_report(frames, S.cdm_rules())._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("ObjectHashAggregate|SortAggregate|collect_list|lambda", plan)
+    assert re.search(rf"Exchange hashpartitioning\(space[^\n]* {pieces(spark)}\), REPARTITION_BY_NUM", plan)
+
+
+def test_numbers_and_blanks(spark):
+    """Numbers are keys by how they read; an empty text is a value like others, in keys and in references."""
+    rows = {"one": [("",), ("",), ("7",), (None,)], "two": [(7, "", None), (8, "x", None), (8, None, "x")]}
+    frames = {"one": spark.createDataFrame(rows["one"], "id string"), "two": spark.createDataFrame(rows["two"], "n long, s string, q string")}
+    rules = {"one": TableRules(["id"], {}, ["id"]), "two": TableRules(["n", "s"], {"n": ("one", "id"), "s": ("one", "id")}, ["s", "q", "none"])}
+    data = {"one": [dict(id=r[0]) for r in rows["one"]], "two": [dict(zip("nsq", r)) for r in rows["two"]]}
+    assert sorted(map(tuple, key_report(frames, rules).collect()), key=repr) == brute(data, rules)
