@@ -45,7 +45,7 @@ class Encoder:
         self.by_word, self.letters = ids_per_word(self.tokenizer), letter_table(self.tokenizer)
         self.known, self.tails = {}, {}
 
-    def encode(self, texts: Iterable[bytes | None], run_bytes: int = 1 << 20) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[bytes | None], run_bytes: int = 1 << 22) -> Iterator[bytes]:
         """The ids of each text, none for NULL and empty texts; new words are learned for many texts at a time."""
         run, size = [], 0
         for text in texts:
@@ -60,15 +60,26 @@ class Encoder:
         if not self.by_word:
             yield from (pack(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids) for text in run)
             return
-        split = [text.split() for text in run]  # bytes are split at ASCII white space only
-        found = [list(map(self.known.get, words)) for words in split]
-        new = {word for words, ids in zip(split, found, strict=True) if None in ids for word, own in zip(words, ids, strict=True) if own is None}
-        if new and len(self.known) + len(new) > self.words_kept:
-            self.known.clear()
-            new = set().union(*split)
-        self._learn(new)
-        for words, ids in zip(split, found, strict=True):
-            yield b"".join(map(self.known.__getitem__, words) if None in ids else ids)
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split = pc.ascii_split_whitespace(pa.array(run, pa.large_binary()).cast(pa.large_string()))  # an empty word at white ends has no ids
+        each = split.values.dictionary_encode()  # the table is asked once for each word of a run
+        known, words = self.known, each.dictionary.cast(pa.large_binary()).to_pylist()
+        found = list(map(known.get, words))
+        unknown = [k for k, own in enumerate(found) if own is None]
+        if unknown and len(known) + len(unknown) > self.words_kept:
+            known.clear()
+            known.update((word, own) for word, own in zip(words, found, strict=True) if own is not None)  # what this run uses stays
+        self._learn([words[k] for k in unknown])
+        for k in unknown:
+            found[k] = known[words[k]]
+        ids = pa.array(found, pa.large_binary()).take(each.indices)  # lie one after the other in its memory
+        _, offsets, data = ids.buffers()
+        ends = np.frombuffer(offsets, np.int64)[split.offsets.to_numpy()].tolist()
+        for begin, end in zip(ends, ends[1:]):
+            yield data[begin:end].to_pybytes() if end > begin else b""
 
     def _learn(self, words: Iterable[bytes]) -> None:
         """Letters with punctuation behind them need only the merges; the rest goes through the whole library."""

@@ -166,3 +166,23 @@ def test_encoder_looks_at_known_words_once(monkeypatch):
     for run_bytes in (1, 1, 1000):
         assert list(own.encode(texts, run_bytes)) == plain
     assert asked[0] == [b"one", b"two"] and len(own.known) <= 10
+
+
+def test_encoder_asks_the_table_once_a_run():
+    """Each distinct word of a run is looked up once, however often and in how many texts it stands; a word of this run outlives a full table."""
+
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counting.asked += 1
+            return super().get(*key)
+
+    own, texts = Encoder(WORD, words_kept=4), [b"one two " * 500, None, b"", b"  two\tone\x0bthree ", b" \n", b"\x1cone two"]
+    own.known = Counting()
+    expected = [pack(plain((t or b"").decode())) for t in texts]
+    assert list(own.encode(texts)) == expected and Counting.asked <= 6
+    own = Encoder(WORD, words_kept=4)
+    assert list(own.encode([b"one two three"])) == [pack(plain("one two three"))]
+    assert list(own.encode([b"one four five"])) == [pack(plain("one four five"))] and set(own.known) == {b"one", b"four", b"five"}
+    assert list(own.encode([])) == [] and list(own.encode([None])) == [b""]
