@@ -21,7 +21,7 @@ from math import exp, log
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from medweave.llm.common import query, table
+from medweave.llm.common import query, table, unused
 from medweave.llm.near_dedup import mixed
 
 MARK, BARRED = "▁", "￾"  # the space mark; what stands for a literal one in the lattice, a noncharacter no piece holds
@@ -302,34 +302,50 @@ def in_runs(keys: Iterable[str | None], texts: Iterable[str | None]) -> Iterator
     yield run
 
 
-def encode_sampled(docs: DataFrame, model_file: str, key: Column, weight: float = WEIGHT, seed: int = SEED, result: str = "ids") -> DataFrame:
-    """``docs`` and the piece ids of ``text``, unsigned little-endian 32-bit integers, drawn by ``key``."""
+def text_of(own: Lattices, packed: bytes | None) -> str:
+    import numpy as np
+
+    # the first space stands for the text's start
+    return b"".join(map(own.bytes_of.__getitem__, np.frombuffer(packed or b"", "<u4").tolist()))[1:].decode()
+
 
-    @F.arrow_udf("binary")
+def encode_sampled(
+    docs: DataFrame, model_file: str, key: Column, weight: float = WEIGHT, seed: int = SEED, result: str = "ids", decoded: str | None = None
+) -> DataFrame:
+    """``docs`` and the piece ids of ``text``, unsigned little-endian 32-bit integers, drawn by ``key``.
+
+    With ``decoded``, also the text that these ids decode to, by the worker that drew them: ``decode`` behind it needs a second one.
+    """
+
+    @F.arrow_udf("ids binary, decoded string")
     def encode(keys, texts):
         import pyarrow as pa
 
-        own, out = lattices(model_file, weight), []
+        own, out, back = lattices(model_file, weight), [], []
         for some, run in in_runs(keys.to_pylist(), texts.to_pylist()):
-            out += [ids.astype("<u4").tobytes() for ids in sample(own, [row_seed(k, seed) for k in some], run)]
-        return pa.array(out, pa.binary())
+            made = [ids.astype("<u4").tobytes() for ids in sample(own, [row_seed(k, seed) for k in some], run)]
+            out += made
+            back += [text_of(own, ids) if decoded else None for ids in made]
+        return pa.StructArray.from_arrays([pa.array(out, pa.binary()), pa.array(back, pa.string())], ["ids", "decoded"])
 
-    return docs.withColumn(result, encode(key.cast("string"), F.col("text").cast("string")))
+    # Spark copies a deterministic call into all that takes its result, decode() for one, and draws anew for each.
+    once = encode.asNondeterministic()
+    (both,) = unused(docs, "_drawn")
+    drawn = docs.withColumn(both, once(key.cast("string"), F.col("text").cast("string")))
+    return drawn.withColumns({result: F.col(both)["ids"]} | ({decoded: F.col(both)["decoded"]} if decoded else {})).drop(both)
 
 
 def decode(ids: Column, model_file: str, weight: float = WEIGHT) -> Column:
     """The text of piece ids, whichever segmentation they are."""
 
     @F.arrow_udf("string")
-    def text_of(packed):
-        import numpy as np
+    def texts_of(packed):
         import pyarrow as pa
 
-        bytes_of = lattices(model_file, weight).bytes_of
-        # the first space stands for the text's start
-        return pa.array([b"".join(map(bytes_of.__getitem__, np.frombuffer(p or b"", "<u4").tolist()))[1:].decode() for p in packed.to_pylist()], pa.string())
+        own = lattices(model_file, weight)
+        return pa.array([text_of(own, p) for p in packed.to_pylist()], pa.string())
 
-    return text_of(ids)
+    return texts_of(ids)
 
 
 @query("op9_sampled_pieces")
@@ -338,8 +354,7 @@ def op9(spark, folder):
 
     model = path("piece_bpe_32k.model")
     docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    made = encode_sampled(docs, model, F.col("doc_id"))
-    back = made.withColumn("decoded", decode(F.col("ids"), model))
+    back = encode_sampled(docs, model, F.col("doc_id"), decoded="decoded")
     return back.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
         F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("lossless"),

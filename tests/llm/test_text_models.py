@@ -396,3 +396,17 @@ def test_pipeline(spark):
                 spans[r["sequence_id"]] += r["length"]
             assert max(spans.values()) <= 2048 and len({(r["doc_id"], r["piece"]) for r in rows}) == len(rows) == packing.pack_documents(before, WORD).count()
     assert 0 < kept[3] <= kept[1] <= kept[0] and kept[2] == kept[1]
+
+
+def test_draws_are_made_once_a_row(spark):
+    """Spark copied the call that draws into the call that decodes, so that every row was drawn twice."""
+    calls = lambda df: [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "ArrowEvalPython" in line]
+    (line,) = calls(QUERIES["op9_sampled_pieces"](spark, FOLDER))
+    assert line.count("encode(") == 1
+    odd = spark.createDataFrame([(1, "once  upon a time\n", 5), (2, None, 6), (None, "", 7), (2, "é\u2581中 x", 8)], "doc_id long, text string, _drawn long")
+    made = piece_sampling.encode_sampled(odd, PIECE, F.col("doc_id"), decoded="back")
+    chained = piece_sampling.encode_sampled(odd, PIECE, F.col("doc_id")).withColumn("back", piece_sampling.decode(F.col("ids"), PIECE))
+    assert sum(line.count(" encode(") + line.count("[encode(") for line in calls(chained)) == 1
+    assert made.columns == chained.columns == ["doc_id", "text", "_drawn", "ids", "back"]
+    rows = made.collect()
+    assert Counter(rows) == Counter(chained.collect()) and all(r["back"] == (r["text"] or "") for r in rows)
