@@ -252,6 +252,8 @@ def sample(own: Lattices, keys: list[int], texts: list[str]) -> list:
     """Piece ids of each text."""
     import numpy as np
 
+    if not texts:
+        return []  # numpy splits nothing into one part
     if len(own.cumulative) > KEPT_EDGES:
         own.clear()
     split = [units(t) for t in texts]
@@ -299,7 +301,8 @@ def in_runs(keys: Iterable[str | None], texts: Iterable[str | None]) -> Iterator
         if size >= BATCH_BYTES:
             yield run
             run, size = ([], []), 0
-    yield run
+    if run[0]:  # nothing is left where the last text filled its run
+        yield run
 
 
 def text_of(own: Lattices, packed: bytes | None) -> str:

@@ -410,3 +410,13 @@ def test_draws_are_made_once_a_row(spark):
     assert made.columns == chained.columns == ["doc_id", "text", "_drawn", "ids", "back"]
     rows = made.collect()
     assert Counter(rows) == Counter(chained.collect()) and all(r["back"] == (r["text"] or "") for r in rows)
+
+
+def test_text_that_fills_a_run_may_end_its_batch(spark):
+    """The empty run behind it was drawn as one row more than the batch had."""
+    text = "as many words as fill a run " * (piece_sampling.BATCH_BYTES // 28 + 1)
+    docs = spark.createDataFrame([(1, "a few words"), (2, text)], "doc_id long, text string").coalesce(1)
+    rows = piece_sampling.encode_sampled(docs, PIECE, F.col("doc_id"), decoded="back").select("doc_id", "text", "back").collect()
+    assert [r["doc_id"] for r in rows] == [1, 2] and all(r["back"] == r["text"] for r in rows)
+    own = piece_sampling.lattices(PIECE, piece_sampling.WEIGHT)
+    assert piece_sampling.sample(own, [], []) == [] and list(piece_sampling.in_runs([], [])) == []
