@@ -13,7 +13,7 @@ from medweave.functions.vocabulary import DESTINATION
 from medweave.operators.keys import key_report
 from medweave.plans import claims as C
 from medweave.schemas import CDM_TABLES, OUTPUT_TABLES, cdm_rules, cdm_schema
-from medweave.session import settle
+from medweave.session import discard, new_folder, settle
 
 _DOMAIN_ROWS = ", ".join(f"({i}, '{d}')" for i, d in enumerate(DOMAINS))
 _ROUTES = ", ".join(f"('{k}', '{v}')" for k, v in DESTINATION.items())
@@ -113,8 +113,10 @@ def feed(t: Tables, name: str) -> DataFrame:
 
 
 def given(t: Tables) -> C.ClaimsInput:
-    """The feeds as the conversion wants them: read straight from tables (the joined one is written first)."""
-    return C.ClaimsInput(**{name: settle(feed(t, name), compression="zstd") if name == "prescription" else feed(t, name) for name in FEED_SQL})
+    """The feeds as the conversion wants them: read straight from tables (the joined one is written first, and deleted when it is read)."""
+    path = new_folder(t.spark, "settled")
+    joined = {"prescription": settle(feed(t, "prescription"), compression="zstd", path=path)}
+    return C.ClaimsInput(**{name: joined.get(name) or feed(t, name) for name in FEED_SQL}, prescription_read=lambda: discard(t.spark, path))
 
 
 _done: dict[tuple[str, str], C.ClaimsOutput] = {}

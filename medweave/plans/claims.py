@@ -7,6 +7,7 @@ visit, care site and provider ids.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -354,8 +355,8 @@ DESTINATIONS = {
 
 #: What the fact tables and the costs take from the numbered rows.
 FACT_COLUMNS = [
-    "person_id", "from_dt", "thru_dt", "row_id", "feed", "code", "source_id", "target_id", "provider_id", "visit_occurrence_id",
-    "quantity", "days_supply", "rx_id",
+    "person_id", "from_dt", "thru_dt", "row_id", "feed_rank", "code", "source_id", "target_id", "provider_id", "visit_occurrence_id",
+    "quantity", "days_supply",
 ]
 
 
@@ -363,18 +364,21 @@ def number_facts(facts: DataFrame, rx: DataFrame, at: dict[str, int]) -> dict[st
     """The rows of all fact tables with their ids, each table numbered by person, claim and code from one sorted copy.
 
     Prescriptions (whatever their destination) come before the drugs named in claims, per person; they carry ``rx_id``
-    for the costs, as all rows carry ``row_id`` and ``feed``. :func:`to_cdm` drops what a table does not have.
+    for the costs, as all rows carry ``row_id`` and ``feed``. :func:`to_cdm` drops what a table does not have. Both come from
+    the feed's rank, so that the shuffle does not carry them.
     """
     bought = rx.where(F.col("target_id").isNotNull()).select(
         F.lit("drug").alias("destination"), "person_id", F.lit(0).alias("feed_rank"), F.col("PDE_ID").alias("claim_id"), F.lit("").alias("segment"),
         F.col("SRVC_DT").alias("from_dt"), F.lit("").alias("thru_dt"), "row_id", F.lit(0).alias("code_order"), "target_order",
         "code", "source_id", "target_id", F.col("QTY_DSPNSD_NUM").try_cast("decimal(18,4)").alias("quantity"),
-        F.col("DAYS_SUPLY_NUM").try_cast("long").alias("days_supply"), F.col("row_id").alias("rx_id"),
+        F.col("DAYS_SUPLY_NUM").try_cast("long").alias("days_supply"),
     )
     named = vocab.fact_targets(facts).select(
-        "destination", *FACT_ORDER, "feed", "code", "source_id", "target_id", "provider_id", "visit_occurrence_id"
+        "destination", *FACT_ORDER, "code", "source_id", "target_id", "provider_id", "visit_occurrence_id"
     )
     numbered = ids.assign_ids_by(union_facts([bought, named]), "destination", "fact_id", FACT_ORDER, {d: at[c] for d, c in DESTINATIONS.items()}, FACT_COLUMNS)
+    rank = F.col("feed_rank")
+    numbered = numbered.withColumns({"feed": F.get(F.array(*map(F.lit, FEEDS)), rank - 1), "rx_id": F.when(rank == 0, F.col("row_id"))})
     return {d: numbered.where(F.col("destination") == d).withColumnRenamed("fact_id", f"{c}_id") for d, c in DESTINATIONS.items()}
 
 
@@ -518,7 +522,7 @@ def _tie(person_ids: DataFrame, feed: DataFrame) -> DataFrame:
 
 @dataclass
 class ClaimsInput:
-    """The feeds and the vocabulary, each read straight from files or tables."""
+    """The feeds and the vocabulary, each read straight from files or tables; ``prescription_read`` is called when that feed is not read again."""
 
     beneficiary: DataFrame
     inpatient: DataFrame
@@ -528,6 +532,7 @@ class ClaimsInput:
     concept: DataFrame
     relationship: DataFrame
     years: list[str] = field(default_factory=lambda: ["2008", "2009", "2010"])
+    prescription_read: Callable[[], None] = lambda: None
 
 
 @dataclass
@@ -565,9 +570,12 @@ def claims_to_cdm(given: ClaimsInput, carried: Carried | None = None) -> ClaimsO
     carried = carried or Carried()
     at = carried.state
 
-    def scripts_of(person_ids: DataFrame) -> DataFrame:
+    def ties(person_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """One after the other: these shuffles carry whole rows, and the disk need not hold both."""
         rows = has_service_date(conform(skip_header_rows(given.prescription), "prescription"), "SRVC_DT")
-        return _tie(person_ids, rows)
+        scripts = _tie(person_ids, rows)
+        given.prescription_read()
+        return scripts, _tie(person_ids, union_facts([claim_rows(k, getattr(given, k)) for k in FEEDS]))
 
     first = together(
         spark,
@@ -578,12 +586,11 @@ def claims_to_cdm(given: ClaimsInput, carried: Carried | None = None) -> ClaimsO
     person_ids = people.select(PERSON, "person_id")
     tied = together(
         spark,
-        claims=lambda: _tie(person_ids, union_facts([claim_rows(k, getattr(given, k)) for k in FEEDS])),
-        scripts=lambda: scripts_of(person_ids),
+        ties=lambda: ties(person_ids),
         location=lambda: build_location(people, carried.location, at["location"]),
         payer_plan_period=lambda: build_payer_plan_period(people, given.years, at["payer_plan_period"]),
     )
-    claims, scripts, location = tied["claims"], tied["scripts"], tied["location"]
+    (scripts, claims), location = tied["ties"], tied["location"]
 
     def places() -> tuple[DataFrame, DataFrame]:
         site = build_care_site(claims, carried.care_site, at["care_site"])

@@ -1,13 +1,20 @@
 """The claims conversion on a few hand-written records, read from files."""
 
+import os
+import time
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from medweave import schemas as S
+from medweave.bindings import feeds
+from medweave.bindings.common import Tables
 from medweave.functions import claims as fc
 from medweave.functions.coverage import coverage_window, payer_plan_periods
 from medweave.operators import vocab
 from medweave.plans import claims as C
+from medweave.session import CLEANUP, settle, shuffles_deleted, together
 from medweave.sources import files, tables
 
 
@@ -273,3 +280,60 @@ def test_ids_keep_only_the_columns_asked_for(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("c", None)], "x string, y int")
     out = assign_ids(df, "id", ["x"], 5, keep=["y"])
     assert out.columns == ["id", "y"] and sorted(map(tuple, out.collect())) == [(5, 2), (6, 1), (7, None)]
+
+
+def shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+
+def test_settled_copies_leave_no_shuffle_files(spark):
+    """They stayed until the driver happened to collect its garbage: all shuffles of a conversion lay on the disk at once."""
+    before = shuffle_files(spark)
+    jobs = {f"job{k}": lambda k=k: settle(spark.range(1000).repartition(3 + k, "id").groupBy((F.col("id") % 7).alias("r")).count()) for k in range(3)}
+    for made in together(spark, **jobs).values():
+        assert sorted(r["count"] for r in made.collect()) == [142] + [143] * 6
+    for _ in range(100):  # Spark deletes them in the background
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before
+    assert spark.conf.get(CLEANUP, None) is None
+
+
+def test_cleanup_is_put_back(spark):
+    with pytest.raises(ValueError), shuffles_deleted(spark):
+        assert spark.conf.get(CLEANUP) == "true"
+        raise ValueError
+    assert spark.conf.get(CLEANUP, None) is None
+    spark.conf.set(CLEANUP, "false")
+    try:
+        with shuffles_deleted(spark):
+            assert spark.conf.get(CLEANUP) == "false"  # as it was set by hand
+        assert spark.conf.get(CLEANUP) == "false"
+    finally:
+        spark.conf.unset(CLEANUP)
+
+
+def test_joined_feed_is_deleted_when_it_is_read(spark, inputs):
+    given = feeds.given(Tables(spark, "/root/testdata/sf0.001"))
+    file = given.prescription.inputFiles()[0].removeprefix("file:")
+    assert os.path.exists(file) and given.prescription.count() > 0
+    given.prescription_read()
+    assert not os.path.exists(os.path.dirname(file))
+    calls = []
+    again = C.claims_to_cdm(replace(inputs, prescription_read=lambda: calls.append(1)))
+    assert calls == [1] and again.tables["drug_cost"].count() == 3
+
+
+
+def test_feed_comes_from_its_rank(inputs, monkeypatch):
+    from medweave.operators import ids
+
+    written = []
+    monkeypatch.setattr(ids, "settle", lambda df, *args, **kw: written.append(df) or settle(df, *args, **kw))
+    made = C.claims_to_cdm(inputs)
+    (numbered,) = [df for df in written if {"destination", "_place"} <= set(df.columns)]
+    assert not {"feed", "rx_id"} & set(numbered.columns)
+    assert rows(made.tables["condition_occurrence"], "condition_type_concept_id") == [(38000200,), (38000230,), (38000230,)]
+    assert rows(made.tables["drug_cost"], "drug_exposure_id") == [(1,), (2,), (None,)]
