@@ -1,10 +1,11 @@
 """Key and NOT NULL rules of many tables as one report.
 
 Every table is scanned once: its key, its references and its missing values are turned from columns into rows
-(space, key, rule), a space being the number of the table whose key a value belongs to, and are counted by these three with a map-side
-combine, so a value in every row (concept 0) is one row per task. The counts of one value meet by (space, key), where
-it shows whether the space's own table holds it: a second shuffle, of distinct values only, for all references to
-all tables at once.
+(space, key, slot). A space is a table whose key a value belongs to with up to ``SLOTS`` of the references to it, or as many NOT NULL
+columns; a table with more references has several spaces, and its key is in each. One grouping by (space, key) counts the
+rows per slot, slot 0 being the key itself, with a map-side combine, so a value in every row (concept 0) is one row per task, and
+one row per value goes through the shuffle, whatever refers to it. It shows whether the table holds the value;
+only values that break a rule go on and are unfolded into their rules.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from medweave.session import pieces
 
 PRIMARY, FOREIGN, NOT_NULL = "primary key", "foreign key", "not null"
 REPORT = "table string, rule string, columns string, parent string, rows long, keys long"
+SLOTS = 8  # references that are counted side by side; each is a number in every row of the grouping
 
 
 @dataclass
@@ -53,21 +55,31 @@ def _numbered(rules: dict[str, TableRules], present: set[str]) -> list[tuple[str
     return out
 
 
-def _entries(df: DataFrame, numbered: list[tuple[int, str, list[str], str | None]]) -> DataFrame:
-    """``rule, key`` of one table: one row per key and non-NULL reference, and one per missing value (with an empty key)."""
+def _spaces(numbered: list[tuple[str, str, list[str], str | None]]) -> list[tuple[int | None, list[int], bool]]:
+    """(rule of the key, rules by slot, whether it is its key's first space) of every space; those of NOT NULL columns have no key."""
+    keys = {table: i for i, (table, kind, _, _) in enumerate(numbered) if kind == PRIMARY}
+    slots: dict[str | None, list[int]] = {table: [] for table in keys}
+    for i, (_, kind, _, parent) in enumerate(numbered):
+        if kind != PRIMARY:
+            slots.setdefault(parent, []).append(i)  # NOT NULL columns have no parent
+    return [(keys.get(t), own[at : at + SLOTS], at == 0) for t, own in slots.items() for at in range(0, max(len(own), 1), SLOTS)]
+
+
+def _entries(df: DataFrame, entries: list[tuple[int, tuple[str, str, list[str], str | None], bool]]) -> DataFrame:
+    """``entry, key`` of one table: one row per key (in each of its spaces) and non-NULL reference, and one per missing value (with an empty key)."""
     present, items, primary = set(df.columns), {}, []
-    for number, kind, columns, _ in numbered:
+    for entry, (_, kind, columns, _), first in entries:
         if kind == NOT_NULL:
             missing = F.col(f"`{columns[0]}`").isNull() if columns[0] in present else F.lit(True)
-            items[str(number)] = F.when(missing, F.lit(""))
+            items[str(entry)] = F.when(missing, F.lit(""))
         elif all(c in present for c in columns):
-            items[str(number)] = _text(columns)
-            primary += [number] if kind == PRIMARY else []
+            items[str(entry)] = _text(columns)
+            primary += [entry] if kind == PRIMARY and first else []
     if not items:
-        return df.select(F.lit(0).alias("rule"), F.lit("").alias("key")).where("false")
-    turned = df.select(*[item.alias(rule) for rule, item in items.items()]).unpivot([], list(items), "rule", "key")
+        return df.select(F.lit(0).alias("entry"), F.lit("").alias("key")).where("false")
+    turned = df.select(*[item.alias(entry) for entry, item in items.items()]).unpivot([], list(items), "entry", "key")
     # A key with a NULL part belongs to no value: it is counted by its rule alone.
-    return turned.select(F.col("rule").cast("int").alias("rule"), "key").where(F.col("key").isNotNull() | F.col("rule").isin(primary))
+    return turned.select(F.col("entry").cast("int").alias("entry"), "key").where(F.col("key").isNotNull() | F.col("entry").isin(primary))
 
 
 def key_report(tables: dict[str, DataFrame], rules: dict[str, TableRules]) -> DataFrame:
@@ -78,20 +90,28 @@ def key_report(tables: dict[str, DataFrame], rules: dict[str, TableRules]) -> Da
     """
     spark = next(iter(tables.values())).sparkSession
     found = _numbered(rules, set(tables))
-    by_table: dict[str, list[tuple[int, str, list[str], str | None]]] = {}
-    for number, (table, kind, columns, parent) in enumerate(found):
-        by_table.setdefault(table, []).append((number, kind, columns, parent))
-    spaces = {t: i for i, t in enumerate(by_table)}
-    space_of = F.array(*[F.lit(spaces.get(p if kind == FOREIGN else t, -1) if kind != NOT_NULL else -1) for t, kind, _, p in found])
+    spaces, width = _spaces(found), SLOTS + 1
+    by_table: dict[str, list[tuple[int, tuple[str, str, list[str], str | None], bool]]] = {t: [] for t, *_ in found}
+    rule_of = [-1] * (len(spaces) * width)
+    for space, (key, slots, first) in enumerate(spaces):
+        for slot, rule in enumerate([key, *slots]):
+            if rule is not None:
+                rule_of[space * width + slot] = rule
+                by_table[found[rule][0]].append((space * width + slot, found[rule], first))
     entries = reduce(DataFrame.unionByName, [_entries(tables[t], own) for t, own in by_table.items()])
-    counted = entries.withColumn("space", space_of[F.col("rule")]).groupBy("space", "key", "rule").agg(F.count(F.lit(1)).alias("n"))
-
-    is_key, is_required = (F.col("rule").isin([i for i, r in enumerate(found) if r[1] == kind]) for kind in (PRIMARY, NOT_NULL))
-    # The rows of one value, at most one per rule, are told apart by a number: sorting compares texts only where it is equal.
-    dealt = counted.repartition(pieces(spark), "space", "key").withColumn("value", F.xxhash64("space", "key"))
-    each = dealt.withColumn("held", F.bool_or(is_key).over(Window.partitionBy("value", "space", "key")))
-    broken = each.where(is_required | F.col("key").isNull() | F.when(is_key, F.col("n") > 1).otherwise(~F.col("held")))
-    summed = broken.groupBy("rule").agg(F.sum("n").alias("rows"), F.sum(F.when(is_required, 0).otherwise(1)).alias("keys"))
+    placed = entries.select((F.col("entry") / width).cast("int").alias("space"), "key", (F.col("entry") % width).alias("slot"))
+    names = [str(slot) for slot in range(width)]
+    counted = placed.groupBy("space", "key").agg(*[F.count(F.when(F.col("slot") == int(n), 1)).alias(n) for n in names])
+
+    # A value the table holds breaks its key by coming again, said by the first space; one it lacks breaks all that have it.
+    holders, is_first = F.col("0"), F.col("space").isin([i for i, (_, _, first) in enumerate(spaces) if first])
+    broken = counted.where((holders == 0) | (is_first & (F.col("key").isNull() | (holders > 1))))
+    held = F.col("0") > 0
+    alone = broken.select("space", "key", *[F.col(n) if n == "0" else F.when(held, 0).otherwise(F.col(n)).alias(n) for n in names])
+    turned = alone.repartition(pieces(spark), "space", "key").drop("key").unpivot(["space"], names, "slot", "n").where(F.col("n") > 0)
+    each = turned.select(F.array(*map(F.lit, rule_of))[F.col("space") * width + F.col("slot").cast("int")].alias("rule"), "n")
+    is_required = F.col("rule").isin([i for i, r in enumerate(found) if r[1] == NOT_NULL])
+    summed = each.groupBy("rule").agg(F.sum("n").alias("rows"), F.sum(F.when(is_required, 0).otherwise(1)).alias("keys"))
 
     listed = spark.createDataFrame([(i, t, kind, ",".join(c), p) for i, (t, kind, c, p) in enumerate(found)], "rule int, table string, kind string, columns string, parent string")
     none = F.lit(0).cast("long")

@@ -5,7 +5,7 @@ import re
 from collections import Counter
 
 from medweave import schemas as S
-from medweave.operators.keys import FOREIGN, NOT_NULL, PRIMARY, TableRules, key_report
+from medweave.operators.keys import FOREIGN, NOT_NULL, PRIMARY, SLOTS, TableRules, key_report
 from medweave.session import pieces
 
 
@@ -81,3 +81,25 @@ def test_numbers_and_blanks(spark):
     rules = {"one": TableRules(["id"], {}, ["id"]), "two": TableRules(["n", "s"], {"n": ("one", "id"), "s": ("one", "id")}, ["s", "q", "none"])}
     data = {"one": [dict(id=r[0]) for r in rows["one"]], "two": [dict(zip("nsq", r)) for r in rows["two"]]}
     assert sorted(map(tuple, key_report(frames, rules).collect()), key=repr) == brute(data, rules)
+
+
+def test_more_references_than_one_space_counts(spark):
+    """A table with many references has several spaces; its key breaks once, and every reference is held against it."""
+    rng, names = random.Random(9), [f"r{k}" for k in range(2 * SLOTS + 3)]
+    data = {
+        "place": [{"id": k} for k in (1, 2, 2, 2, 3, None, None, 5)],
+        "fact": [{"id": i, **{n: rng.choice([None, 2, 2, *range(8)]) for n in names}} for i in range(60)],
+    }
+    rules = {"place": TableRules(["id"], {}, ["id"]), "fact": TableRules(["id"], {n: ("place", "id") for n in names}, [*names, "id"])}
+    frames = {"place": spark.createDataFrame([(r["id"],) for r in data["place"]], "id long")}
+    frames["fact"] = spark.createDataFrame([tuple(r.values()) for r in data["fact"]], "id long, " + ", ".join(f"{n} long" for n in names))
+    assert sorted(map(tuple, key_report(frames, rules).collect()), key=repr) == brute(data, rules)
+
+
+def test_values_are_shuffled_once(spark):
+    """Each value went through two shuffles, once per rule it has; now through one as one row, and only what breaks a rule goes on."""
+    frames = {t: spark.createDataFrame([], S.cdm_schema(t)) for t in ("person", "location", "death")}
+    plan = key_report(frames, S.cdm_rules())._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Window|hashpartitioning\(space[^\n]*rule", plan)
+    again = plan.index("REPARTITION_BY_NUM")
+    assert re.search(r"Filter [^\n]*0#\S* [^\n]*= 0", plan[again:])
