@@ -5,7 +5,7 @@ import time
 from dataclasses import replace
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
 from medweave import schemas as S
 from medweave.bindings import feeds
@@ -287,9 +287,10 @@ def shuffle_files(spark):
     return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
 
 
-def test_settled_copies_leave_no_shuffle_files(spark):
+def test_settled_copies_leave_no_shuffle_files(spark, monkeypatch):
     """They stayed until the driver happened to collect its garbage: all shuffles of a conversion lay on the disk at once."""
-    before = shuffle_files(spark)
+    before, seen, parquet = shuffle_files(spark), [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *args, **kw: seen.append(spark.conf.get(CLEANUP, None)) or parquet(self, *args, **kw))
     jobs = {f"job{k}": lambda k=k: settle(spark.range(1000).repartition(3 + k, "id").groupBy((F.col("id") % 7).alias("r")).count()) for k in range(3)}
     for made in together(spark, **jobs).values():
         assert sorted(r["count"] for r in made.collect()) == [142] + [143] * 6
@@ -298,7 +299,7 @@ def test_settled_copies_leave_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not shuffle_files(spark) - before
-    assert spark.conf.get(CLEANUP, None) is None
+    assert seen == ["true"] * 3 and spark.conf.get(CLEANUP, None) is None
 
 
 def test_cleanup_is_put_back(spark):
